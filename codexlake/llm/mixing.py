@@ -20,16 +20,18 @@ def word_count(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ramps: tuple[float, ...] = (0.5, 1.0, 1.5), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken, position, h)``, sorted by range of ``position``.
+    """``(doc_id, source, size, source_size, target, taken, position, h, passes, extra, start, ramp)``.
 
     Sources in code-point order (null last) weigh ``weights`` in turn and share all words; a target stops
     at REPEATS times its source's size and the excess is shared again by weight.  A source's documents, in
     the order of a hash, are taken in passes: whole passes first, then as much of one more as the target
-    asks; one document a source is cut there.
+    asks; one document a source is cut there.  ``start`` is a document's place in its source's words,
+    ``passes`` and ``extra`` how often it is taken whole and how many of its words once more.
 
     A source's weight over training time ``t`` in [0, 1] is the line ``r + 2 (1 - r) t`` with its ramp
     ``r`` from ``ramps`` in turn; its integral ``r t + (1 - r) t^2`` is the part of the target due by ``t``.
-    A document's position inverts that demand at the middle of its words in the first pass.
+    A document's position inverts that demand at the middle of its words in the first pass;
+    ``in_training_order`` range-sorts by it.
 
     * null or word-less text: size 0, taken 0.  A source without words: target 0.
     * null ids and repeated rows: each row is a document; rows equal in all columns share their place.
@@ -54,15 +56,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ramps: tuple[floa
     words = F.least(F.round("target"), REPEATS * F.col("source_size")).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), words - passes * F.col("source_size") - start))
-    middle = (start + F.col("size") / 2) / F.greatest("target", F.lit(1.0))
-    r = F.col("ramp")
-    # r t + (1 - r) t^2 = due, solved without cancellation; at r = 1 it is due itself
-    due = F.least(F.lit(1.0), middle)
-    position = 2 * due / (r + F.sqrt(F.greatest(F.lit(0.0), r * r + 4 * (1 - r) * due)))
-    out = placed.select(
-        "doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + extra).cast("long").alias("taken"), position.alias("position"), "h",
+    return placed.select(
+        "doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + extra).cast("long").alias("taken"),
+        training_position(start, F.col("size"), F.col("target"), F.col("ramp")).alias("position"), "h", passes.cast("long").alias("passes"), extra.cast("long").alias("extra"), start.alias("start"), "ramp",
     )
-    return out.repartitionByRange("position", "h").sortWithinPartitions("position", "h")
+
+
+def training_position(start: Column, size: Column, target: Column, ramp: Column) -> Column:
+    """When the middle of ``size`` words from word ``start`` of a source's demand is due: ``r t + (1 - r) t^2 = due``."""
+    due = F.least(F.lit(1.0), (start + size / 2) / F.greatest(target, F.lit(1.0)))
+    # solved so that nothing cancels; at r = 1 it is due itself
+    return 2 * due / (ramp + F.sqrt(F.greatest(F.lit(0.0), ramp * ramp + 4 * (1 - ramp) * due)))
+
+
+def in_training_order(df: DataFrame) -> DataFrame:
+    return df.repartitionByRange("position", "h").sortWithinPartitions("position", "h")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...], ramps: tuple[float, ...]) -> DataFrame:

@@ -19,6 +19,13 @@ from .tokens import tokenizer
 WINDOW, QUANTUM, SLICE = 2048, 256, 1 << 18
 
 
+def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Path of an installed public tokenizer file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source)``: a row a piece.
 

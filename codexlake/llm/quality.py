@@ -36,7 +36,7 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([marks, other]).astype(np.float32)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_id: Column | None = None) -> DataFrame:
     """``(doc_id, evidence, host_posterior, path_posterior, score, kept)`` for every row of ``docs``.
 
     ``evidence``: the probability of good quality by a logistic classifier of the text alone, learned from
@@ -47,12 +47,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
 
     * null or empty text: features of an empty text.  No usable labels: evidence 0.5, all kept.
     * null host or path: a site of its own.  Null ids: scored, never learned from.
+    * ``label_id``: the id that labels know, where it isn't ``id_col``.
     * labels that repeat an id: their mean decides; null labels are passed over.
     * repeated rows: each is returned.  Empty table: empty result.  Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host.alias("host"), path.alias("path"))
-    seen = scratch.save(plain.mapInArrow(_measure, "doc_id long, host string, path string, f array<float>"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host.alias("host"), path.alias("path"), (F.col(id_col) if label_id is None else label_id).alias("label_id"))
+    seen = scratch.save(plain.mapInArrow(_measure, "doc_id long, host string, path string, label_id long, f array<float>"))
     model = learn(seen, labels)
     scored = scratch.save(seen.mapInArrow(_score(model), "doc_id long, host string, path string, evidence double"))
     site = posteriors(scored)
@@ -90,8 +91,8 @@ def learn(seen: DataFrame, labels: DataFrame) -> dict | None:
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     share = SAMPLE / max(SAMPLE, told.count())
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = seen.join(told.where(draw < share), "doc_id").select("doc_id", "f", "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"], list(r["f"])))
+    rows = seen.join(told.where(draw < share).withColumnRenamed("doc_id", "l"), F.col("label_id") == F.col("l")).select("label_id", "f", "quality").collect()
+    rows.sort(key=lambda r: (r["label_id"], list(r["f"])))
     if len({r["quality"] >= 0.5 for r in rows}) < 2:
         return None
     x = np.array([r["f"] for r in rows], np.float32)
@@ -106,7 +107,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batch, "text"):
             f = [features(t) for t in part.column("text").to_pylist()]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * FEATURES, pa.int32()), pa.array(np.concatenate(f), pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("path"), flat], ["doc_id", "host", "path", "f"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("path"), part.column("label_id"), flat], ["doc_id", "host", "path", "label_id", "f"])
 
 
 def _score(model: dict | None):

@@ -13,16 +13,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: The tokenizer file of packing, in the installed public tokenizers.
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
-
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -50,12 +40,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
+    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
 @_query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
 
 
 @_query

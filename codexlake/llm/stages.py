@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .minhash import minhash_dedup
+from .mixing import in_training_order, mix, training_position
+from .packing import pack, public_tokenizer
+from .quality import classify
+from .suffix import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,3 +43,44 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = minhash_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; ``labels`` of the same folder are learned from.
+
+    A row is found again by its id and a hash of its text, so rows that repeat an id are told apart.
+    """
+    docs = docs.select(*COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    marked = classify(keyed, labels, host=F.col("source"), path=F.col("lang"), id_col="_row", label_id=F.col("doc_id"))
+    gone = marked.where("not kept").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
+
+
+def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings are cut out of the texts; every document stays, perhaps with an empty text."""
+    return suffix_dedup(docs.select(*COLUMNS), with_text=True, carry=("lang", "source")).select(
+        "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars")
+    )
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks, in training order; of a last cut copy its first words."""
+    docs = docs.select(*COLUMNS)
+    plan = mix(docs).where("taken > 0").dropDuplicates(["doc_id", "h"])
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    plan = plan.select(F.col("doc_id").alias("_id"), "h", "size", "source_size", "target", "passes", "extra", "start", "ramp")
+    whole = docs.withColumn("_h", key).join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")))
+    turns = F.col("passes") + (F.col("extra") > 0).cast("long")
+    copies = whole.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), turns)))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    last = F.col("turn") > F.col("passes")
+    text = F.when(last & (F.col("extra") < F.col("size")), F.array_join(F.slice(words, 1, F.col("extra").cast("int")), " ")).otherwise(F.col("text"))
+    place = training_position(F.col("start") + (F.col("turn") - 1) * F.col("source_size"), F.col("size"), F.col("target"), F.col("ramp"))
+    copies = copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).withColumn("position", place)
+    return in_training_order(copies).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizer())

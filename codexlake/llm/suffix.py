@@ -32,23 +32,25 @@ _RUN = "key long, stretch long, rid long, first long, starts long"
 _START = "key long, stretch long, rid long, first long, starts long, copies long, piece long, data binary"
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs``.
 
     A byte goes when a string of 200 bytes that covers it starts anywhere else in ``docs``, the same
     document included; matches lie within one text.  ``with_text`` adds ``kept_text``, the remaining
     bytes; where a cut splits a character, its remaining bytes are left out of ``kept_text`` alone.
+    ``carry`` names string columns to pass on.
 
     * null or empty text: 0 bytes, 0 removed, the hash of the empty string.
     * null ids and repeated ids: rows are told apart by id and text; equal rows repeat each other.
     * empty table: empty result.  Extra columns of ``docs`` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    plain = with_columns_of(docs, id_col, text_col).toDF("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
+    plain = with_columns_of(docs, id_col, text_col, *carry).toDF("doc_id", "text", *carry).withColumn("rid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(plain, scratch)
     joined = plain.join(spans, "rid", "left")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.select("doc_id", "text", "spans").mapInArrow(_cut(with_text), kind + (", kept_text string" if with_text else ""))
+    kind += ", kept_text string" * with_text + "".join(f", {c} string" for c in carry)
+    return joined.select("doc_id", "text", "spans", *carry).mapInArrow(_cut(with_text, carry), kind)
 
 
 def repeated_spans(plain: DataFrame, scratch: Scratch) -> DataFrame:
@@ -198,7 +200,7 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"rid": rid, "first": first, "a": offset[hit], "z": offset[hit]})
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, carry: tuple[str, ...]):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +222,6 @@ def _cut(with_text: bool):
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), *(batch.column(c) for c in carry)], [*names, *carry])
 
     return run
