@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from codexlake.llm import stages
 
 STAGES = [
+    ("quality", stages.quality),
     ("near_dedup", stages.near_dedup),
+    ("suffix_dedup", stages.suffix),
+    ("mixing", stages.mixing),
+    ("packing", stages.packing),
 ]
 
 ORACLE_SQL = None
