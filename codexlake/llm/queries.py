@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, lm, minhash, mixing, packing, quality, rules, suffix
+from . import embedding, html, langid, lm, minhash, mixing, packing, quality, rules, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
