@@ -137,5 +137,5 @@ def html_to_text_native(page: Column) -> Column:
     # a run of separators is one, and a line break outranks a tab; blanks within it go, those before it stay
     x = F.regexp_replace(x, r"(?U)(?:\x03(?:[\s\x04]*[\x03\x04])*[\s\x04]*)?\x02(?:[\s\x04]*[\x02\x03\x04])*", "\x02")
     x = F.regexp_replace(x, r"(?U)\x03(?:[\s\x04]*[\x03\x04])*", "\x03")
-    x = F.regexp_replace(x, r"^[\x02\x03]|[\x02\x03]\z", "")
+    x = F.regexp_replace(x, r"^\x04*[\x02\x03]|[\x02\x03]\x04*\z", "")
     return F.translate(x, "\x02\x03\x04", "\n\t")

@@ -129,7 +129,7 @@ def _html_sql(page: str) -> str:
         x = f"replace({x}, '{name}', chr({ord(char)}))"
     x = f"regexp_replace({x}, '(?:\\x03(?:[{sp}\\x04]*[\\x03\\x04])*[{sp}\\x04]*)?\\x02(?:[{sp}\\x04]*[\\x02\\x03\\x04])*', chr(2), 'g')"
     x = f"regexp_replace({x}, '\\x03(?:[{sp}\\x04]*[\\x03\\x04])*', chr(3), 'g')"
-    x = f"regexp_replace({x}, '^[\\x02\\x03]|[\\x02\\x03]$', '', 'g')"
+    x = f"regexp_replace({x}, '^\\x04*[\\x02\\x03]|[\\x02\\x03]\\x04*$', '', 'g')"
     return f"replace(translate({x}, chr(2) || chr(3), chr(10) || chr(9)), chr(4), '')"
 
 
@@ -163,7 +163,7 @@ def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("text")
     for mark, written in (("&", "&amp;"), ("\n", "\\par "), ("|", "\\{|\\}")):
         body = F.replace(body, F.lit(mark), F.lit(written))
-    raw = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Calibri;}}{\\*\\generator x;}"), body, F.lit("}"))
+    raw = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Calibri;}}{\\*\\generator x;}\\f0 "), body, F.lit("}"))
     rows = D.table(spark, sf_dir, "documents").select("doc_id", markup.rtf_to_text(raw).alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
