@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space, letters-digits-underscore and the end of a word, as the engine defines them for every language.
-WS = r"[\s\x1c-\x1f]"
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{SPACES}]"
 WORD = r"[\p{L}\p{N}_]"
 WORD_END = r"(?![\p{L}\p{N}_])"
 #: Ends of lines: CR LF as one, then every single character that ends a line.
@@ -36,26 +37,27 @@ def lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(rf"(?U)[^\s\x1c-\x1f]")
+    return ~text.rlike(f"[^{SPACES}]")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")).cast("long")
+    return F.regexp_count(text, F.lit(f"[^{SPACES}]+")).cast("long")
 
 
 def cjk_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(CJK)).cast("long")
+    """Pure ASCII, as many bytes as characters, is never searched."""
+    return F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit(CJK))).cast("long")
 
 
 def estimate_tokens(text: Column) -> Column:
     """Words at WORDS_PER_TOKEN and CJK characters at CJK_PER_TOKEN, with one floor at the end."""
     cjk = cjk_count(text)
-    spaced = F.when(text.rlike(CJK), F.regexp_replace(text, CJK, " ")).otherwise(text)
-    return F.floor(word_count(spaced) / F.lit(WORDS_PER_TOKEN) + cjk / F.lit(CJK_PER_TOKEN)).cast("long")
+    mixed = F.floor(word_count(F.regexp_replace(text, CJK, " ")) / F.lit(WORDS_PER_TOKEN) + cjk / F.lit(CJK_PER_TOKEN))
+    return F.when(cjk == 0, word_tokens(text)).otherwise(mixed).cast("long")
 
 
 def word_tokens(text: Column) -> Column:

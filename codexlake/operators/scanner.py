@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.headings import any_of
 from ..functions.text import WORD_END, WS
 from .structure import line_rows
 
@@ -13,27 +14,37 @@ _B = r"(?<![\p{L}\p{N}_])"
 
 # Rule names, what they match, and their messages.
 RULES: dict[str, tuple[str, str]] = {
-    "prompt.ignore_previous": (rf"(?iuU){_B}ignore{WS}+(?:(?:all|any|the){WS}+)?(?:previous|prior){WS}+(?:instructions?|prompts?|rules?|messages?){WORD_END}", "contains an instruction-override phrase"),
-    "prompt.disregard_system": (rf"(?iuU){_B}disregard{WS}+(?:the{WS}+)?(?:system|developer){WORD_END}", "contains a system-instruction override phrase"),
-    "prompt.role_reassignment": (rf"(?iuU){_B}you{WS}+are{WS}+now{WORD_END}", "contains a role-reassignment phrase"),
-    "prompt.fake_system_prefix": (rf"(?iuU)^{WS}*(?:[-*]{WS}*)?(?:system|developer){WS}*:", "contains a system-like message prefix"),
-    "prompt.system_tag": (rf"(?iuU)<{WS}*/?{WS}*system{WORD_END}[^>]*>", "contains a system-message tag"),
-    "prompt.chat_template_tag": (rf"(?iuU)<\|{WS}*im_start{WS}*\|>|\[{WS}*INST{WS}*\]", "contains a model chat-template delimiter"),
+    "prompt.ignore_previous": (rf"(?iu){_B}ignore{WS}+(?:(?:all|any|the){WS}+)?(?:previous|prior){WS}+(?:instructions?|prompts?|rules?|messages?){WORD_END}", "contains an instruction-override phrase"),
+    "prompt.disregard_system": (rf"(?iu){_B}disregard{WS}+(?:the{WS}+)?(?:system|developer){WORD_END}", "contains a system-instruction override phrase"),
+    "prompt.role_reassignment": (rf"(?iu){_B}you{WS}+are{WS}+now{WORD_END}", "contains a role-reassignment phrase"),
+    "prompt.fake_system_prefix": (rf"(?iu)^{WS}*(?:[-*]{WS}*)?(?:system|developer){WS}*:", "contains a system-like message prefix"),
+    "prompt.system_tag": (rf"(?iu)<{WS}*/?{WS}*system{WORD_END}[^>]*>", "contains a system-message tag"),
+    "prompt.chat_template_tag": (rf"(?iu)<\|{WS}*im_start{WS}*\|>|\[{WS}*INST{WS}*\]", "contains a model chat-template delimiter"),
     "prompt.tool_call_tag": (
-        rf'(?iuU)<\|?{WS}*/?{WS}*tool[_ -]?call{WS}*\|?>|\[{WS}*/?{WS}*tool[_ -]?call{WS}*\]|\{{\{{{WS}*/?{WS}*tool[_ -]?call{WS}*\}}\}}|"{WS}*tool[_ -]?call{WS}*"',
+        rf'(?iu)<\|?{WS}*/?{WS}*tool[_ -]?call{WS}*\|?>|\[{WS}*/?{WS}*tool[_ -]?call{WS}*\]|\{{\{{{WS}*/?{WS}*tool[_ -]?call{WS}*\}}\}}|"{WS}*tool[_ -]?call{WS}*"',
         "contains a tool-call control token",
     ),
 }
-_EXFILTRATE = rf"(?iuU){_B}exfiltrat(?:e|es|ed|ing|ion){WORD_END}"
-_OUTBOUND = rf"(?iuU){_B}(?:curl|wget|send|post|upload|transmit){WORD_END}|https?://"
-_SENSITIVE = rf"(?iuU)\.env{WORD_END}|{_B}base64{WORD_END}|{_B}secrets?{WORD_END}|{_B}credentials?{WORD_END}|{_B}api[_ -]?keys?{WORD_END}"
-_TOOLS = rf"(?iuU)^{WS}*allowed-tools{WS}*:"
-_INVOKED = rf"(?iuU)^{WS}*disable-model-invocation{WS}*:{WS}*[\"']?(?:false|no|0)[\"']?{WS}*(?:#.*)?$"
+_EXFILTRATE = rf"(?iu){_B}exfiltrat(?:e|es|ed|ing|ion){WORD_END}"
+_OUTBOUND = rf"(?iu){_B}(?:curl|wget|send|post|upload|transmit){WORD_END}|https?://"
+_SENSITIVE = rf"(?iu)\.env{WORD_END}|{_B}base64{WORD_END}|{_B}secrets?{WORD_END}|{_B}credentials?{WORD_END}|{_B}api[_ -]?keys?{WORD_END}"
+_TOOLS = rf"(?iu)^{WS}*allowed-tools{WS}*:"
+_INVOKED = rf"(?iu)^{WS}*disable-model-invocation{WS}*:{WS}*[\"']?(?:false|no|0)[\"']?{WS}*(?:#.*)?$"
 MAX_FILES, MAX_BYTES, MAX_TOTAL = 1000, 2 * 1024 * 1024, 20 * 1024 * 1024
 ENTRY_FILE = "SKILL.md"
 SUPPORT_FILES = ("glossary.md", "patterns.md", "cheatsheet.md")
 
 
+#: A text without any of these, and without an invisible character, has no finding; characters that fold to ASCII are folded first.
+_NEEDLES = ("ignore", "disregard", "you", "system", "developer", "im_start", "inst", "tool", "exfiltrat", "curl", "wget", "send", "post", "upload", "transmit", "http", "disable-model")
+_FOLDED = ("ſKıİ", "skii")
+
+
+def _maybe(text: Column) -> Column:
+    folded = F.lower(F.translate(text, *_FOLDED))
+    return any_of([folded.contains(n) for n in _NEEDLES]) | text.rlike(T.INVISIBLE_CLASS)
+
+
 def in_scope(path: Column) -> Column:
     """The entry file, the support files, and Markdown anywhere under chapters."""
     return path.isin(ENTRY_FILE, *SUPPORT_FILES) | path.rlike(r"^chapters/(?:.*/)?[^/]*\.md$")
@@ -41,7 +52,7 @@ def in_scope(path: Column) -> Column:
 
 def findings(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """``(key, line, rule_id, message)`` of every line of ``files``; one finding a rule and line."""
-    lines = line_rows(files, key, text).withColumn("line", F.col("line_no") + 1)
+    lines = line_rows(files.where(_maybe(F.col(text))), key, text).withColumn("line", F.col("line_no") + 1)
     rule = lambda hit, name, message: F.when(hit, F.struct(F.lit(name).alias("rule_id"), message.alias("message")))
     raw = F.col("raw")
     points = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(f"({T.INVISIBLE_CLASS})"), 1), lambda c: F.ascii(c))))
