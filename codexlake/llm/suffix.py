@@ -56,11 +56,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def repeated_spans(plain: DataFrame, scratch: Scratch) -> DataFrame:
     """``(rid, spans)`` of the rows of ``plain(rid, text)`` with repeated strings; spans: [first byte, end)."""
     runs = plain.select("rid", "text").mapInArrow(_runs, _RUN)
-    often = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written first, so that both sides of each join below are read by their own exchange and a hot key's partition can be split
+    often = scratch.save(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = scratch.save(runs.join(often, "key"))
     shape = runs.groupBy("key", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "starts")).alias("at"))
     shape = scratch.save(shape.select("key", "stretch", "copies", "at.*"))
-    several = shape.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    several = scratch.save(shape.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     meet = shape.join(several, "key").withColumn("piece", F.pmod(F.col("stretch"), F.ceil(F.col("m") / PIECE)))
     meet = meet.groupBy("rid").agg(F.collect_list(F.struct("key", "stretch", "first", "starts", "copies", "piece", (F.col("m") > PIECE).alias("dealt"))).alias("of"))
     fetched = scratch.save(plain.join(meet, "rid").select("rid", "text", "of").mapInArrow(_fetch, _START + ", dealt boolean"))
