@@ -55,7 +55,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", te
 
 def _links(spark: SparkSession, plain: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     member = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+    # written first, so that both sides of the join are read by their own exchange and a hot band's partition can be split
+    shared = scratch.save(member.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1"))
     member = scratch.save(member.join(shared, "band"))
 
     # 1. every class of a band against the band's smallest
