@@ -10,7 +10,7 @@ from .prefix import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words (about) to a slot of a source's order.
-SLOT = 1 << 20
+SLOT = 1 << 17
 #: No source is repeated more often.
 REPEATS = 3
 
