@@ -42,11 +42,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def learn(labelled: DataFrame) -> dict:
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    each = F.lit(SAMPLE) / F.count("*").over(_everything())
-    share = counts.select(F.col("lang").alias("l"), F.least(F.lit(1.0), each / F.col("n")).alias("share"))
+    # one row a language reaches the driver, and its share of the sample is a literal there: the texts aren't shuffled
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {"langs": []}
+    each = SAMPLE / len(counts)
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = labelled.join(share, F.col("lang") == F.col("l")).where(draw < F.col("share"))
+    some = labelled.where(draw < F.element_at(share, F.col("lang")))
     rows = some.select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, f binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["f"]))
     langs = sorted({r["lang"] for r in rows})
@@ -62,12 +65,6 @@ def learn(labelled: DataFrame) -> dict:
     return {"langs": langs, "code": code.astype(np.float32), "w": w, "b": b, "weight": (weight / weight.sum()).astype(np.float32)}
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))  # over one row a language
-
-
 def codewords(k: int) -> np.ndarray:
     """``k`` rows of +1 and -1, far from each other; no column is constant.
 
