@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.headings import any_of
 from ..functions.text import WORD_END, WS
-from .structure import line_rows
 
 _B = r"(?<![\p{L}\p{N}_])"
 
@@ -35,14 +33,15 @@ ENTRY_FILE = "SKILL.md"
 SUPPORT_FILES = ("glossary.md", "patterns.md", "cheatsheet.md")
 
 
-#: A text without any of these, and without an invisible character, has no finding; characters that fold to ASCII are folded first.
-_NEEDLES = ("ignore", "disregard", "you", "system", "developer", "im_start", "inst", "tool", "exfiltrat", "curl", "wget", "send", "post", "upload", "transmit", "http", "disable-model")
-_FOLDED = ("ſKıİ", "skii")
+#: A text or line without any of these, and without an invisible character, has no finding; characters that fold to ASCII are folded first.
+_NEEDLES = ("ignore", "disregard", "you", "system", "developer", "im_start", "[", "tool", "exfiltrat", "curl", "wget", "send", "post", "upload", "transmit", "http", "disable-model")
+_FOLDS = {"s": "[sſ]", "k": "[kK]", "i": "[iıİ]", "[": r"\["}
+#: One pass: a class of first letters, then the words.
+_MAYBE = "(?i)(?=[" + "".join(sorted({n[0] for n in _NEEDLES} - {"["})) + r"\[ſıİ])(?:" + "|".join("".join(_FOLDS.get(c, c) for c in n) for n in _NEEDLES) + ")"
 
 
 def _maybe(text: Column) -> Column:
-    folded = F.lower(F.translate(text, *_FOLDED))
-    return any_of([folded.contains(n) for n in _NEEDLES]) | text.rlike(T.INVISIBLE_CLASS)
+    return text.rlike(_MAYBE) | text.rlike(T.INVISIBLE_CLASS)
 
 
 def in_scope(path: Column) -> Column:
@@ -52,15 +51,18 @@ def in_scope(path: Column) -> Column:
 
 def findings(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """``(key, line, rule_id, message)`` of every line of ``files``; one finding a rule and line."""
-    lines = line_rows(files.where(_maybe(F.col(text))), key, text).withColumn("line", F.col("line_no") + 1)
+    ls = T.lines(F.col(text))
+    # frontmatter is known from the text alone: from a first line --- to the next such line
+    end = F.array_position(F.transform(F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0))), T.strip), "---")
+    docs = files.where(_maybe(F.col(text))).select(key, ls.alias("ls")).where(F.size("ls") > 0)
+    docs = docs.select(key, "ls", F.when(T.strip(F.element_at("ls", 1)) == "---", end).otherwise(0).alias("z"))
+    lines = docs.select(key, "z", F.posexplode("ls").alias("line_no", "raw")).withColumn("line", F.col("line_no") + 1)
+    front = (F.col("line_no") > 0) & (F.col("line_no") < F.col("z"))
+    lines = lines.where(_maybe(F.col("raw")))
     rule = lambda hit, name, message: F.when(hit, F.struct(F.lit(name).alias("rule_id"), message.alias("message")))
     raw = F.col("raw")
     points = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(f"({T.INVISIBLE_CLASS})"), 1), lambda c: F.ascii(c))))
     shown = F.array_join(F.transform(points, lambda n: F.concat(F.lit("U+"), F.lpad(F.hex(n), F.greatest(F.lit(4), F.length(F.hex(n))), F.lit("0")))), ", ")
-    fence = F.col("s") == "---"
-    ends = lines.where(fence).groupBy(key).agg(F.min(F.when(F.col("line_no") == 0, 0)).alias("a"), F.min(F.when(F.col("line_no") > 0, F.col("line_no"))).alias("z")).where("a = 0 and z is not null")
-    lines = lines.join(ends, key, "left")
-    front = F.coalesce((F.col("line_no") > 0) & (F.col("line_no") < F.col("z")), F.lit(False))
     hits = F.array_compact(
         F.array(
             rule(raw.rlike(T.INVISIBLE_CLASS), "unicode.invisible", F.concat(F.lit("contains invisible Unicode code point(s): "), shown)),

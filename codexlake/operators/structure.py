@@ -21,7 +21,9 @@ def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
     """Lines that are chapter headings, with ``number``."""
-    return lines.withColumn("number", H.chapter_number(F.col("s"))).where("number is not null")
+    # most lines end at this test, before they are even stripped
+    some = lines.where(H.maybe_chapter(F.col("raw")))
+    return some.withColumn("number", H.chapter_number(F.col("s"))).where("number is not null")
 
 
 def fenced_spans(marks: Column) -> Column:
@@ -118,7 +120,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, seg_id, number, heading, body)``: segment 0 is what stands before the first chapter heading, even if empty."""
-    lines = line_rows(docs, key, text).withColumn("number", H.chapter_number(F.col("s")))
+    lines = line_rows(docs, key, text).withColumn("number", F.when(H.maybe_chapter(F.col("raw")), H.chapter_number(F.col("s"))))
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("seg_id", F.count("number").over(order))
     found = rows.groupBy(key, "seg_id").agg(

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 BOOK = 1000
 
 
+#: Tables of at most so many bytes may be one file that no scan can split.
+SMALL = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; one that is a single unsplittable file is dealt out, so that all cores read its texts."""
+    """A driver table; a small one is dealt out, so that all cores read the texts of its one row group."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = spark.sparkContext.defaultParallelism
-    alone = df._jdf.queryExecution().toRdd().getNumPartitions() == 1
-    return df.repartition(cores) if alone and cores > 1 else df
+    return df.repartition(cores) if cores > 1 and int(str(size)) <= SMALL else df
 
 
 def numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
