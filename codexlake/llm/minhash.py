@@ -13,12 +13,18 @@ from . import minhash_core as core
 from .common import Scratch, lists, row_slices, starts_of, with_columns_of
 from .graph import components
 
-#: 45 bands of 8 coordinates: a pair at similarity 0.85 shares no band with probability 6e-7.
-COORDINATES, ROWS = 360, 8
+#: Coordinates of a sketch, and how likely a pair at the threshold may share no band.
+COORDINATES, MISS = 360, 1e-5
 #: Documents to a tile where a band is compared pair by pair.
 TILE = 256
 
 
+def band_rows(percent: int) -> int:
+    """Coordinates to a band: as many as keep a pair at the threshold from being missed (0.85: 8, a miss in 6e-7; 0.8: 7, 6e-6)."""
+    s = percent / 100
+    return max((r for r in range(1, 21) if (1 - s**r) ** (COORDINATES // r) <= MISS), default=1)
+
+
 def minhash_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups of ``docs``: ``(doc_id, n_shingles, component_id, kept)``, a row per row of docs.
 
@@ -35,7 +41,7 @@ def minhash_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     plain = with_columns_of(docs, id_col, text_col).toDF("doc_id", "text")
-    signed = scratch.save(plain.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = scratch.save(plain.mapInArrow(_sign(band_rows(percent)), "doc_id long, n_shingles long, digest binary, bands array<long>"))
 
     classes = scratch.save(
         signed.where("doc_id is not null and n_shingles > 0")
@@ -85,23 +91,26 @@ def _links(spark: SparkSession, plain: DataFrame, classes: DataFrame, percent: i
     return found.union(rest)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in row_slices(batch, "text"):
-            sets = [core.shingle_set(t) for t in part.column("text").to_pylist()]
-            full = [k for k, s in enumerate(sets) if len(s)]
-            keys = np.empty((0, COORDINATES // ROWS), np.uint64)
-            if full:
-                starts = starts_of(len(sets[k]) for k in full)
-                keys = core.bands(core.sketch(np.concatenate([sets[k] for k in full]), starts, COORDINATES), ROWS)
-            width = np.zeros(len(sets), np.int64)
-            width[full] = keys.shape[1]
-            digest = [core.xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
-                 lists(keys.reshape(-1).view(np.int64), starts_of(width), pa.int64())],
-                ["doc_id", "n_shingles", "digest", "bands"],
-            )
+def _sign(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, "text"):
+                sets = [core.shingle_set(t) for t in part.column("text").to_pylist()]
+                full = [k for k, s in enumerate(sets) if len(s)]
+                keys = np.empty((0, COORDINATES // rows), np.uint64)
+                if full:
+                    starts = starts_of(len(sets[k]) for k in full)
+                    keys = core.bands(core.sketch(np.concatenate([sets[k] for k in full]), starts, COORDINATES), rows)
+                width = np.zeros(len(sets), np.int64)
+                width[full] = keys.shape[1]
+                digest = [core.xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                     lists(keys.reshape(-1).view(np.int64), starts_of(width), pa.int64())],
+                    ["doc_id", "n_shingles", "digest", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

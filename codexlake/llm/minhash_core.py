@@ -76,7 +76,7 @@ def sketch(values: np.ndarray, starts: np.ndarray, t: int) -> np.ndarray:
 def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key a band of ``rows`` coordinates; equal bands at one place give equal keys."""
     docs, t = coordinates.shape
-    c = coordinates.reshape(docs, t // rows, rows)
+    c = coordinates[:, : t // rows * rows].reshape(docs, t // rows, rows)
     key = np.broadcast_to(np.arange(t // rows, dtype=np.uint64), (docs, t // rows)).copy()
     for k in range(rows):
         key = mix(key * _M2 + c[:, :, k] + np.uint64((k + 1) * _STEP & _ALL))

@@ -35,12 +35,12 @@ def run(stages: list[tuple[str, Stage]], spark: SparkSession, sf_dir: str) -> Da
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id, once.
+    """One document of each near-duplicate group, five-word shingles at a similarity of 0.8 or more, stays: the smallest id, once.
 
     Documents without an id can't be told apart and stay.
     """
     docs = docs.select(*COLUMNS)
-    stay = minhash_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    stay = minhash_dedup(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
