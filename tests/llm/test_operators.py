@@ -83,6 +83,10 @@ def test_minhash(docs, corpus, monkeypatch, tile):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def test_band_rows():
+    assert [minhash.band_rows(p) for p in (80, 85, 100)] == [7, 8, 20]
+
+
 def test_components(spark):
     links = [(9, 8), (8, 7), (7, 1), (5, 4), (3, 3), (20, 21), (21, 22), (22, 23), (23, 20), (30, 40), (50, 30)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
