@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from .common import Scratch, row_slices, with_columns_of
 CLASSES, FREQUENT, SIDE, HIDDEN = 128, 95, 2, 16
 #: Tokens to a gradient step, and words a task counts before it sends its counts.
 STEP, COUNTED = 2048, 1 << 19
+#: Words of at least one in LISTED of all are handed to the tasks with their counts; the counts of all others are joined.
+LISTED = 1 << 17
 #: Models of tasks that one group adds up.
 FAN = 32
 _AROUND = [d for d in range(-SIDE, SIDE + 1) if d]
@@ -74,6 +77,10 @@ class Network:
         self.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
+def _bucket(word: bytes) -> int:
+    return 1 + FREQUENT + zlib.crc32(word) % (CLASSES - 1 - FREQUENT)
+
+
 class Classes(dict):
     """Class of each lower-cased word; rare words share classes by a checksum."""
 
@@ -85,7 +92,7 @@ class Classes(dict):
         if len(self) > 1 << 20:
             self.clear()
             self.update({w: k + 1 for k, w in enumerate(self.frequent)})
-        found = self[word] = 1 + FREQUENT + zlib.crc32(word) % (CLASSES - 1 - FREQUENT)
+        found = self[word] = _bucket(word)
         return found
 
 
@@ -95,15 +102,19 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are counted over all whole texts; the most frequent are classes of their own.  The network is
     learned on all documents in two rounds, each on one half by a hash: every task runs through its
     documents from the same start, and the tasks' weights, averaged by tokens in a tree, start the next
-    round.  ``log_prob`` sums the log probability of each token given the tokens on both of its sides.
+    round.  ``log_prob`` sums the log probability of each token given the tokens on both of its sides: that
+    of its class by the network, and that of the word in its class by the counts of all documents.  The
+    table of counts grows with the corpus and is joined with the words of each row; words too frequent to
+    meet in one task are handed to the tasks instead, with the same counts.
 
     * null or word-less text: 0 tokens, log_prob 0, mean and perplexity null.
     * null ids and repeated rows: as any row.  Empty table: empty result.  Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     plain = with_columns_of(docs, id_col, text_col).toDF("doc_id", "text")
-    counts = plain.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    counts = scratch.save(plain.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    most = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    frequent = list(most)
     flat = Network().flat
     half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))
     for turn in (0, 1):
@@ -111,7 +122,26 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sent = scratch.save(part.mapInArrow(_train(frequent, flat), "task long, n double, w binary"))
         flat = _average(sent, flat)
         scratch.drop(sent)
-    return plain.mapInArrow(_score(frequent, flat), "doc_id long, n_tokens long, log_prob double, mean_log_prob double, perplexity double")
+    buckets = _bucket_sums(counts, most)
+    total = sum(most.values()) + sum(buckets.values())
+    listed = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") * LISTED >= total).collect()}
+    # written first: a row's number is that of the one run that was kept
+    scored = scratch.save(plain.mapInArrow(_score(frequent, flat, listed, buckets), "row long, doc_id long, n_tokens long, log_prob double, rare array<binary>"))
+    others = counts.where(F.col("n") * LISTED < total).select("word", F.log("n").alias("more"))
+    more = scored.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("more").alias("more"))
+    whole = scored.select("row", "doc_id", "n_tokens", "log_prob").join(more, "row", "left")
+    whole = whole.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
+
+
+def _bucket_sums(counts: DataFrame, most: dict[bytes, int]) -> dict[int, int]:
+    """How many words of all texts each checksum class has: the frequent words, classes of their own, are not in it."""
+    bucket = F.lit(1 + FREQUENT) + F.pmod(F.crc32("word"), F.lit(CLASSES - 1 - FREQUENT))
+    sums = {r["bucket"]: r["n"] for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()}
+    for word, n in most.items():
+        sums[_bucket(word)] -= n
+    return sums
 
 
 def _average(sent: DataFrame, before: np.ndarray) -> np.ndarray:
@@ -151,10 +181,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def _tokens(texts: list[str | None], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(texts: list[str | None]) -> list[list[bytes]]:
+    return [t.encode().lower().split() if t else [] for t in texts]
+
+
+def _tokens(split: list[list[bytes]], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all texts with SIDE zeros before, between and after them; places and number of each text's."""
     get = classes.__getitem__
-    split = [t.encode().lower().split() if t else [] for t in texts]
     n = np.array([len(w) for w in split], np.int64)
     out = np.zeros(int(n.sum()) + SIDE * (len(n) + 1), np.int64)
     first = np.cumsum(n + SIDE) - n
@@ -169,7 +202,7 @@ def _train(frequent: list[bytes], start: np.ndarray):
         net, classes, seen = Network(start), Classes(frequent), 0
         for batch in batches:
             for part in row_slices(batch, "text"):
-                tokens, at, _ = _tokens(part.column("text").to_pylist(), classes)
+                tokens, at, _ = _tokens(_split(part.column("text").to_pylist()), classes)
                 steps = max(1, len(at) // STEP)
                 for k in range(steps if len(at) else 0):  # each step takes tokens from all of the slice
                     net.learn(tokens, at[k::steps])
@@ -181,19 +214,29 @@ def _train(frequent: list[bytes], start: np.ndarray):
     return run
 
 
-def _score(frequent: list[bytes], flat: np.ndarray):
+def _score(frequent: list[bytes], flat: np.ndarray, listed: dict[bytes, int], buckets: dict[int, int]):
+    """Numbered rows with their sums but for the counts of words that are not ``listed``, and those words, as often as they occur."""
+    of_class = np.zeros(CLASSES)
+    for c, n in buckets.items():
+        of_class[c] = math.log(max(1, n))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, classes = Network(flat), Classes(frequent)
+        own = {w: math.log(n) for w, n in listed.items()} | dict.fromkeys(frequent, 0.0)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in row_slices(batch, "text"):
-                tokens, at, n = _tokens(part.column("text").to_pylist(), classes)
+                split = _split(part.column("text").to_pylist())
+                tokens, at, n = _tokens(split, classes)
                 p = np.concatenate([net.log_probabilities(tokens, at[k : k + STEP]) for k in range(0, len(at), STEP)]) if len(at) else np.empty(0)
+                known = np.fromiter((own.get(w, 0.0) for words in split for w in words), np.float64, len(at))
+                p = p + known - of_class[tokens[at]]
                 total = np.bincount(np.repeat(np.arange(len(n)), n), weights=p, minlength=len(n))
-                mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
-                none = n == 0
+                rare = [[w for w in words if w not in own] for words in split]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)],
-                    ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "perplexity"],
+                    [pa.array(np.arange(row, row + len(n))), part.column("doc_id"), pa.array(n), pa.array(total), pa.array(rare, pa.list_(pa.binary()))],
+                    ["row", "doc_id", "n_tokens", "log_prob", "rare"],
                 )
+                row += len(n)
 
     return run

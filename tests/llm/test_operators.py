@@ -310,6 +310,19 @@ def test_language_model(docs, corpus, spark, empty):
     assert lm.pseudo_likelihood(empty).count() == 0
 
 
+@pytest.mark.parametrize("listed", [1 << 17, 1])
+def test_rare_words_have_their_own_probability(spark, monkeypatch, listed):
+    monkeypatch.setattr(lm, "LISTED", listed, raising=False)  # at 1 the count of every word is joined
+    rare = next([a, b] for a in WORDS for b in WORDS if a < b and zlib.crc32(a.encode()) % 32 == zlib.crc32(b.encode()) % 32)
+    frequent = " ".join(f"common{k}" for k in range(95))
+    texts = [*[frequent] * 6, f"common1 {rare[0]} common2", f"common1 {rare[1]} common2", f"{rare[0]} {rare[0]} {rare[0].upper()} {rare[0]}", None]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in lm.pseudo_likelihood(spark.createDataFrame(rows, DOC).coalesce(1)).collect()}
+    assert got[6]["log_prob"] - got[7]["log_prob"] == pytest.approx(np.log(5))
+    assert got[6]["perplexity"] == pytest.approx(np.exp(-got[6]["log_prob"] / 3)) and got[9]["perplexity"] is None
+    assert len(got) == len(rows)
+
+
 def test_network_gradient_learns_both_sides():
     rng = np.random.default_rng(0)
     left = rng.integers(1, 20, 6000)
