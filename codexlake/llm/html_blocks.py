@@ -14,11 +14,16 @@ import numpy as np
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never rendered as text.
-SILENT = frozenset("script style template noscript head title svg math iframe object audio video canvas datalist textarea select option button".split())
+SILENT = frozenset("script style template noscript head title svg iframe object audio video canvas datalist textarea select option button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Formulas stand in a line of text; annotations repeat them in another notation and are not rendered.
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+UNSEEN = frozenset("annotation annotation-xml".split())
+#: What may stand in a head; anything else, text too, ends a head that is still open.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
 #: Elements that an opening tag ends when they are still open.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Block elements that end an open paragraph.
@@ -77,6 +82,8 @@ def blocks(page: str | None) -> list[Block]:
     while at < n:
         m = _MARK.search(page, at)
         end = m.start() if m else n
+        if end > at and stack and stack[-1].name == "head" and not page[at:end].isspace():
+            close(len(stack) - 1)
         if end > at and not silent:
             parts.append(page[at:end])
             if link:
@@ -98,6 +105,14 @@ def blocks(page: str | None) -> list[Block]:
                     close(k)
                     break
             continue
+        if stack and stack[-1].name == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        if name == "head" and any(e.name != "html" for e in stack):  # passed over inside a head or a body
+            continue
+        if name in UNSEEN:
+            tail = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = tail.end() if tail else at
+            continue
         if name == "a":
             link += 1
         if name in INLINE:

@@ -362,3 +362,12 @@ def test_labeller_on_pages_it_has_not_seen():
         page = [Block(b.text.replace(T._MAIN, "").strip() or "x", b.path, b.linked, b.depth) for b in page]
         right, total = right + (html.label([page], html._model())[0] == truth).sum(), total + len(page)
     assert right / total > 0.98
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>t</title><body>", "<head><meta charset=x><style>p{}</style>", "<html><head><title>t</title></head><body>", "<head><script>a</script><head>"])
+def test_open_head_and_formulas(start):
+    from codexlake.llm.html_blocks import blocks
+
+    page = blocks(start + "<p>One <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> two</p><p>Three</p>")
+    assert [b.text for b in page] == ["One x=1 two", "Three"]
+    assert [b.text for b in blocks("<head><title>t</title>Text first<p>Then")] == ["Text first", "Then"]
