@@ -95,3 +95,20 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (base_failed OR 10 * n_symbols > word_chars OR (2 * n_dup_lines > n_lines AND n_dup_lines >= 3) OR NOT (2 * n_words <= word_chars AND word_chars <= 25 * n_words)
     OR (10 * upper > 6 * letters AND letters > 0) OR 10 * shouts > 3 * n_words OR 10 * bars > 2 * n_words OR (n_words >= 50 AND 20 * kinds < n_words AND n_words < 20000)) AS kept
 FROM b"""
+
+
+# every 200-byte string of every text, so for small tables only
+ORACLES["op4_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+  s AS (SELECT rid, unnest(range(octet_length(b) - 199)) AS p, b FROM d WHERE octet_length(b) >= 200),
+  g AS (SELECT rid, p, md5_number(b[p + 1 : p + 200]) AS g FROM s),
+  r AS (SELECT rid, p FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+  i AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+  n AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS k FROM i),
+  k AS (SELECT rid, k, min(p) AS a, max(p) + 200 AS z FROM n GROUP BY rid, k),
+  e AS (SELECT rid, a, z FROM k UNION ALL SELECT rid, octet_length(b), octet_length(b) FROM d),
+  l AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a, z), 0) AS a, a AS z FROM e),
+  h AS (SELECT rid, string_agg(hex(b[a + 1 : z]), '' ORDER BY a) AS kept, sum(z - a) AS n FROM l JOIN d USING (rid) GROUP BY rid),
+  c AS (SELECT rid, count(*) AS n FROM k GROUP BY rid)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(octet_length(b) - h.n AS BIGINT) AS n_removed, coalesce(c.n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN h USING (rid) LEFT JOIN c USING (rid)"""

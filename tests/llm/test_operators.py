@@ -93,9 +93,11 @@ def test_components(spark):
     assert got == {n: c for n, c in grouped(range(51), links).items() if n in {x for p in links for x in p} - {3}}
 
 
-@pytest.mark.parametrize("piece", [4096, 2])
-def test_suffix(spark, monkeypatch, piece):
-    monkeypatch.setattr(suffix, "PIECE", piece)
+@pytest.mark.parametrize("shard", [None, 3000])
+def test_suffix(spark, monkeypatch, shard):
+    if shard:  # many shards, several of them to a sender
+        monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+        monkeypatch.setattr(suffix, "HELD_BYTES", 4000)
     rng = random.Random(1)
     passage, base = prose(rng, 60), prose(rng, 200)
     texts = [base, near(rng, base, 2), "ab" * 300, "ab" * 150 + "c" * 500, None, "", "x" * 199, "x" * 250, "é" * 90 + passage, "è" + passage[3:], passage[:199], base]
