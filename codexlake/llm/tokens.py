@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,9 @@ _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Re
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Words in which lower-casing and classes of characters are plain, and how the split pattern reads there.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: A single one after letters is a piece of its own.
+_MARKS = b".,;:!?"
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -120,33 +124,60 @@ class WordTokenizer:
                 ok = np.flatnonzero((p >= 0) & (p < m - 2))
                 rank[ok, p[ok]], new[ok, p[ok]] = self._look(ids[ok, p[ok]], ids[ok, p[ok] + 1])
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > REMEMBER:
             self.words.clear()
         if len(self.pieces) > REMEMBER:
             self.pieces.clear()
-        parts: dict[bytes, list[str]] = {}
+        known = self.words
+        plain, marked, other = set(), [], []
         for w in words:
+            if not self.fast or not w.islower():
+                other.append(w)
+            elif w.isalpha():  # one piece
+                plain.add(w)
+            elif w[-1] in _MARKS and w[:-1].isalpha():  # two
+                marked.append(w)
+                if w[:-1] not in known:
+                    plain.add(w[:-1])
+            else:
+                other.append(w)
+        parts: dict[bytes, list[str]] = {}
+        for w in other:
             text = w.decode()
-            if self.fast and _PLAIN.fullmatch(text) and "<|" not in text:
+            if self.fast and _LETTERS.fullmatch(text):
+                plain.add(w)
+            elif self.fast and w[-1] in _MARKS and _LETTERS.fullmatch(text, 0, len(text) - 1):
+                marked.append(w)
+                if w[:-1] not in known:
+                    plain.add(w[:-1])
+            elif self.fast and _PLAIN.fullmatch(text) and "<|" not in text:
                 parts[w] = _PARTS.findall(text.lower())
             else:
-                self.words[w] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        by: dict[int, list[tuple[str, bytes]]] = {}
-        known = self.pieces
-        for x in parts.values():
-            for p in x:
-                if p not in known:
-                    known[p] = b""
-                    raw = p.encode()
-                    by.setdefault(len(raw), []).append((p, raw))
+                known[w] = self._library(w)
+        known.update(self._merged(plain))
+        if marked:
+            mark = {m: known[b] if (b := bytes([m])) in known else self._library(b) for m in _MARKS}
+            for w in marked:
+                known[w] = known[w[:-1]] + mark[w[-1]]
+        new = {p for x in parts.values() for p in x} - self.pieces.keys()
+        raw = {p.encode(): p for p in new}
+        self.pieces.update((raw[r], ids) for r, ids in self._merged(raw))
+        get = self.pieces.__getitem__
+        for w, x in parts.items():
+            known[w] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+
+    def _library(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _merged(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        by: dict[int, list[bytes]] = {}
+        for p in pieces:
+            by.setdefault(len(p), []).append(p)
         for some in by.values():
             for k in range(0, len(some), 1 << 14):
                 part = some[k : k + (1 << 14)]
-                self.pieces.update(zip((p for p, _ in part), self._merge([r for _, r in part]), strict=True))
-        get = self.pieces.__getitem__
-        for w, x in parts.items():
-            self.words[w] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+                yield from zip(part, self._merge(part), strict=True)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, of the width of ``kind``."""
@@ -159,16 +190,27 @@ class WordTokenizer:
                 gc.enable()
 
     def _ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        missing = {w for words in split for w in words} - self.words.keys()
+        split = [_split(t) for t in texts]
+        missing = set()
+        for words in split:
+            missing.update(words)
+        if len(self.words) + len(missing) > REMEMBER:  # _learn may start anew: all of these texts' words
+            new = missing.difference(self.words)
+            missing = missing if len(self.words) + len(new) > REMEMBER else new
+        else:
+            missing = missing.difference(self.words)
         if missing:
-            if len(self.words) + len(missing) > REMEMBER:  # _learn starts anew: all of these texts' words
-                missing = {w for words in split for w in words}
-            self._learn(list(missing))
+            self._learn(missing)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+def _split(text: str | None) -> list[bytes]:
+    """The words of a text; in one that can hold no special token A-Z are lower-cased at once, as the scheme does later."""
+    raw = text.encode() if text else b""
+    return (raw if b"<|" in raw else raw.lower()).split()
+
+
 def _byte_characters() -> list[str]:
     """The printable stand-in of every byte: itself where it is printable, else the next code point from 256."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
