@@ -81,19 +81,21 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
   g AS (SELECT rid, pos, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
   c AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, g) AS n FROM g WHERE g IS NOT NULL),
   r AS (SELECT rid, count(DISTINCT pos + k) AS n FROM c, (VALUES (0), (1), (2)) AS v(k) WHERE c.n > 1 GROUP BY rid),
-  wc AS (SELECT rid, count(*) AS n, sum(length(w)) AS chars, count(DISTINCT lower(w)) AS kinds FROM w GROUP BY rid),
+  wn AS (SELECT rid, count(*) AS n, sum(length(w)) AS chars, count(*) FILTER (NOT regexp_matches(w, '[A-Za-z]|[^\x00-\x7f]')) AS bare FROM w GROUP BY rid),
+  kc AS (SELECT rid, count(DISTINCT (pos * greatest(1, n // 2000) // n, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS kinds FROM w JOIN wn USING (rid) GROUP BY rid),
+  wc AS (SELECT * FROM wn JOIN kc USING (rid)),
   l AS (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d),
   lc AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM l WHERE regexp_matches(x, '[^\x09-\x0d\x20]') GROUP BY rid),
-  m AS (SELECT d.doc_id, t, coalesce(wc.n, 0) AS n_words, coalesce(wc.chars, 0) AS word_chars, coalesce(wc.kinds, 0) AS kinds,
+  m AS (SELECT d.doc_id, t, coalesce(wc.n, 0) AS n_words, coalesce(wc.chars, 0) AS word_chars, coalesce(wc.kinds, 0) AS kinds, coalesce(wc.bare, 0) AS bare,
       len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(lc.dup, 0) AS n_dup_lines, coalesce(lc.n, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words,
       len(regexp_extract_all(t, '[A-Z]')) AS upper, len(regexp_extract_all(t, '[A-Za-z]')) AS letters,
-      (length(t) - length(replace(t, '!!', ''))) // 2 AS shouts, (length(t) - length(replace(t, ' | ', ''))) // 3 AS bars
+      length(t) - length(replace(replace(t, '!', ''), '?', '')) AS exclaiming
     FROM d LEFT JOIN wc USING (rid) LEFT JOIN lc USING (rid) LEFT JOIN r USING (rid)),
   b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > word_chars OR (2 * n_dup_lines > n_lines AND n_dup_lines >= 3) OR NOT (2 * n_words <= word_chars AND word_chars <= 25 * n_words)
-    OR (10 * upper > 6 * letters AND letters > 0) OR 10 * shouts > 3 * n_words OR 10 * bars > 2 * n_words OR (n_words >= 50 AND 20 * kinds < n_words AND n_words < 20000)) AS kept
+    OR (10 * upper > 6 * letters AND letters > 0) OR 10 * exclaiming > 3 * n_words OR 5 * bare > n_words OR (n_words >= 50 AND 20 * kinds < n_words)) AS kept
 FROM b"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -16,8 +17,12 @@ from .minhash_core import mix
 
 #: Documents (about) on which costs and rejections are estimated.
 SAMPLE = 512
+#: Words to a block in which different words are counted.
+BLOCK = 2000
 _SPACE, _SYMBOL = b"\t\n\v\f\r ", b"#*$%&|<>"
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
+#: Finds each word with a letter once: from its first letter to its end.
+_LETTERED = re.compile(rb"[A-Za-z\x80-\xff][^\t-\r ]*")
 
 Counts = dict[str, int]
 Rule = Callable[[bytes, Counts], bool]
@@ -78,21 +83,29 @@ def _capitals(raw: bytes, c: Counts) -> bool:
     return 10 * (len(raw) - len(raw.translate(None, _UPPER))) > 6 * letters and letters > 0
 
 
-def _shouting(raw: bytes, c: Counts) -> bool:
-    return 10 * raw.count(b"!!") > 3 * c["n_words"]
+def _exclaiming(raw: bytes, c: Counts) -> bool:
+    return 10 * (raw.count(b"!") + raw.count(b"?")) > 3 * c["n_words"]
 
 
-def _bars(raw: bytes, c: Counts) -> bool:
-    return 10 * raw.count(b" | ") > 2 * c["n_words"]
+def _no_letters(raw: bytes, c: Counts) -> bool:
+    """More than a fifth of the words hold no letter; a character outside ASCII counts as one."""
+    return 5 * (c["n_words"] - len(_LETTERED.findall(raw))) > c["n_words"]
 
 
-def _one_word(raw: bytes, c: Counts) -> bool:
+def _few_words(raw: bytes, c: Counts) -> bool:
+    """Blocks of equal size, BLOCK words or up to twice that, in which fewer than one word of twenty is new to its block.
+
+    The block keeps the rule alike at every length: the share of new words in a whole text falls with its length.
+    """
     words = raw.lower().split()
-    return len(words) >= 50 and 20 * len(set(words)) < len(words) and len(words) < 20_000
+    n = len(words)
+    blocks = max(1, n // BLOCK)
+    cuts = [-(-k * n // blocks) for k in range(blocks + 1)]
+    return n >= 50 and 20 * sum(len(set(words[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)) < n
 
 
 #: A rule rejects a document where it holds.  The verdict doesn't depend on the order.
-RULES: dict[str, Rule] = {"symbols": _symbols, "dup_lines": _dup_lines, "word_length": _word_length, "capitals": _capitals, "shouting": _shouting, "bars": _bars, "one_word": _one_word}
+RULES: dict[str, Rule] = {"symbols": _symbols, "dup_lines": _dup_lines, "word_length": _word_length, "capitals": _capitals, "exclaiming": _exclaiming, "no_letters": _no_letters, "few_words": _few_words}
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
