@@ -35,7 +35,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", te
 
     * null or word-less text: n_shingles 0, its own component, kept.
     * null id: linked with nothing, component_id null, kept.
-    * rows that repeat an id: each row is returned with the component of its own text's class.
+    * rows that repeat an id: each row is returned with the component of its own text's class; an id stands for
+      all of its texts in the links, so an id with several texts brings their groups together.
     * empty table: empty result.  Extra columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession

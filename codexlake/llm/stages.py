@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -37,11 +38,14 @@ def run(stages: list[tuple[str, Stage]], spark: SparkSession, sf_dir: str) -> Da
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, five-word shingles at a similarity of 0.8 or more, stays: the smallest id, once.
 
-    Documents without an id can't be told apart and stay.
+    Rows are told apart by id and text, so rows that repeat an id with other texts are documents of their
+    own.  Documents without an id can't be told apart and stay.
     """
     docs = docs.select(*COLUMNS)
-    stay = minhash_dedup(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = minhash_dedup(rows, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("r"))
+    kept = rows.join(first.select("r._row"), "_row", "left_semi").dropDuplicates(["_row"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
@@ -83,4 +87,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizer())
+    """Documents packed with each source in training order; ``row`` tells the copies of a document apart."""
+    return pack(docs, public_tokenizer(), order=written_order(docs))
+
+
+def written_order(docs: DataFrame) -> tuple[Column, ...]:
+    """Where a row stands in the files that ``docs`` was written to; nothing for tables that are no files.
+
+    The mixing stage writes its rows range-sorted by training position and can't return the position as a
+    column, so the order of its files and of the rows in them is what it hands on.
+    """
+    name = F.col("_metadata.file_name")
+    try:
+        docs.select(name, "_metadata.row_index")
+    except AnalysisException:
+        return ()
+    return F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0)), name, F.col("_metadata.row_index")
