@@ -8,6 +8,7 @@ import re
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -29,9 +30,15 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 #: Block elements that end an open paragraph.
 _BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: Comments, declarations and tags, as browsers end them: a quote opens a value only right after "=", and one that is never closed runs to the end.
+_MARK = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)",
+    re.S,
+)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_SPOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
 @dataclass
@@ -144,15 +151,10 @@ def blocks(page: str | None) -> list[Block]:
 
 
 #: Hashed inputs: of the path's names and words, of the block's own element, of the text's words; then plain numbers.
-PATH, LAST, TEXT, PLAIN, HIDDEN = 96, 24, 24, 8, 16
+PATH, LAST, TEXT, PLAIN, HIDDEN = 96, 24, 96, 8, 16
 INPUTS = PATH + LAST + TEXT + PLAIN
 
 
-#: Words at a block's start that its hashed words come from.
-FIRST = 16
-
-
-@lru_cache(maxsize=1 << 16)
 def _slot(word: str, size: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode())
     return h % size, 1.0 if (h >> 20) & 1 else -1.0
@@ -169,23 +171,27 @@ def _path(path: tuple[str, ...]) -> np.ndarray:
     return x
 
 
+def spoken(page: list[Block]) -> np.ndarray:
+    """Of each block the hashed vector of all its words, of length 0.8 however many they are."""
+    words = [_SPOKEN.findall(b.text.lower().encode()) for b in page]
+    n = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.uint32, int(n.sum()))
+    sign = np.where((h >> np.uint32(20)) & np.uint32(1), 1.0, -1.0)
+    at = np.repeat(np.arange(len(page)), n) * TEXT + h % np.uint32(TEXT)
+    out = np.bincount(at, weights=sign, minlength=len(page) * TEXT).reshape(-1, TEXT)
+    return out * (0.8 / np.maximum(np.sqrt((out * out).sum(axis=1)), 1))[:, None]
+
+
 def inputs(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), INPUTS), np.float32)
-    plain, row, col, val = [], [], [], []
+    plain = []
     for k, b in enumerate(page):
         x[k, : PATH + LAST] = _path(b.path)
-        words = set(b.text[:400].lower().split(" ", FIRST)[:FIRST])
-        share = 0.5 / len(words) ** 0.5
-        for w in words:
-            i, s = _slot(w, TEXT)
-            row.append(k)
-            col.append(PATH + LAST + i)
-            val.append(s * share)
         size, gaps, count = len(b.text), b.text.count(" "), b.text.count
         plain.append(
             (math.log1p(size) / 6, min(1.0, b.linked / size), (count(".") + count(",") + count("!") + count("?")) / (2 + gaps), k / len(page), 1.0, b.depth / 10, float(b.text[-1] in ".!?"), math.log1p(len(page)) / 4)
         )
-    np.add.at(x, (row, col), np.array(val, np.float32))
+    x[:, PATH + LAST : PATH + LAST + TEXT] = spoken(page)
     x[:, PATH + LAST + TEXT :] = plain
     return x
 
