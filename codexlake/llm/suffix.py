@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import suffix_core as core
 from .common import BATCH_BYTES, Scratch, row_slices, with_columns_of
 
-#: Bytes to a suffix array, and bytes whose fingerprints a task keeps before it sends them.
-SHARD_BYTES, HELD_BYTES = 3 << 19, 24 << 20
+#: Bytes to a suffix array, fingerprints that a task keeps before it sends them, and (at most) of a range.
+SHARD_BYTES, HELD, RANGE = 1 << 20, 1 << 20, 3 << 19
 
 _RUN = "key long, rid long, first long, starts int"
 _PIECE = "low long, rid long, first long, data binary, keys binary, offsets binary, often binary"
@@ -78,8 +78,8 @@ def pieces(plain: DataFrame, scratch: Scratch) -> DataFrame:
 def shards(cut: DataFrame, scratch: Scratch) -> DataFrame:
     """What each shard's suffix array tells: repeated starts ``(rid, a, z)``, fingerprints by range, and where places lie."""
     amount = cut.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
-    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // SHARD_BYTES))
-    return scratch.save(cut.repartitionByRange("low", "rid", "first").sortWithinPartitions("low", "rid", "first").mapInArrow(_shards(parts, SHARD_BYTES, HELD_BYTES), _FOUND))
+    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // RANGE))
+    return scratch.save(cut.repartitionByRange("low", "rid", "first").sortWithinPartitions("low", "rid", "first").mapInArrow(_shards(parts, SHARD_BYTES, HELD), _FOUND))
 
 
 def merged(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -197,7 +197,7 @@ def _shards(parts: int, most: int, hold: int):
                 if shard and amount + len(x[2]) + 1 > most:
                     table(shard)
                     shard, amount = [], 0
-                    if size >= hold:
+                    if sum(len(x[3]) for x in held) >= hold or len(rows) >= 1 << 16 or size >> 31:
                         yield from send()
                 shard.append(x)
                 amount += len(x[2]) + 1

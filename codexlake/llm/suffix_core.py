@@ -72,7 +72,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _numbered(new: np.ndarray) -> np.ndarray:
     """Of each place, the place where its group starts."""
-    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return np.maximum.accumulate(np.where(new, np.arange(len(new), dtype=np.int32), np.int32(0)))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -92,15 +92,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         packed = (packed << np.uint64(8)) | padded[k : n + k]
     packed = (packed << one) | np.arange(n, dtype=np.uint64)
     packed.sort()
-    order = (packed & mask).astype(np.int64)
+    order = (packed & mask).astype(np.int32)
     packed >>= one
     new = np.ones(n, bool)
     np.not_equal(packed[1:], packed[:-1], out=new[1:])
     group = _numbered(new)  # a group's number: the place of its first member
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = group
     h = 5
-    at = np.arange(n)  # places that still belong to groups of several
+    at = np.arange(n, dtype=np.int32)  # places that still belong to groups of several
     while h < depth:
         several = np.zeros(len(at), bool)
         several[1:] = group[1:] == group[:-1]
@@ -109,11 +109,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         here = order[at]
-        further = np.where(here + h < n, rank[np.minimum(here + h, n - 1)] + 1, 0)
+        further = np.where(here + h < n, rank[np.minimum(here + h, n - 1)] + 1, np.int32(0))
         # groups lie in their order already, so this sort keeps them in place
         packed = (group.astype(np.uint64) << two) | (further.astype(np.uint64) << one) | here.astype(np.uint64)
         packed.sort()
-        here = (packed & mask).astype(np.int64)
+        here = (packed & mask).astype(np.int32)
         order[at] = here
         packed >>= one
         new = np.ones(len(at), bool)
@@ -134,7 +134,7 @@ def _words(text: np.ndarray) -> np.ndarray:
 def _shared(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Symbols that the texts from ``a`` and ``b`` share before either ends; pair by pair, eight at a time."""
     n = len(words) - 1
-    out = np.zeros(len(a), np.int64)
+    out = np.zeros(len(a), np.int32)
     live, shift = np.arange(len(a)), 0
     high, ones = np.uint64(0x8080808080808080), np.uint64(0x0101010101010101)
     while len(live):
@@ -160,15 +160,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.zeros(n, np.int64)
     words = _words(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     plain = np.ones(n, bool)
     plain[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (text[:-1] == 0)
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     a = np.flatnonzero(plain & (before >= 0))
     value[a] = _shared(words, a, before[a])
     head = _numbered(plain)
-    value = np.maximum(value[head] - (np.arange(n) - head), 0)
+    value = np.maximum(value[head] - (np.arange(n, dtype=np.int32) - head), 0)
     # past the end of a run, where its value reached 0, a pair is compared for itself
     late = np.flatnonzero((value == 0) & ~plain & (before >= 0))
     value[late] = _shared(words, late, before[late])

@@ -373,6 +373,53 @@ def test_rare_words_have_their_own_probability(spark, monkeypatch, listed):
     assert len(got) == len(rows)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", 3000)
+    rng = random.Random(12)
+    rows = [(k, prose(rng, rng.randrange(1, 400)) if k % 50 else None, "en", "s", 0) for k in range(120)]
+    frame = spark.createDataFrame(rows, DOC)
+    a, b = ({r["doc_id"]: r["log_prob"] for r in lm.pseudo_likelihood(frame.repartition(n)).collect()} for n in (2, 16))
+    assert a == pytest.approx(b, rel=1e-6) and len(set(a.values())) > 100
+
+
+def test_scores_by_hand():
+    words = "a b c d e f g h rare rare2".split()
+    frequent, listed = [w.encode() for w in words[:4]], {w.encode(): 10 + k for k, w in enumerate(words[4:8])}
+    buckets = Counter()
+    for w, n in [*listed.items(), (b"rare", 2), (b"rare2", 3)]:
+        buckets[lm._bucket(w)] += n
+    texts = ["a b e rare c", "", "h g f", "rare2 rare a"]
+    flat = np.random.default_rng(4).standard_normal(lm.Network().flat.size).astype(np.float32) * 0.3
+    import pyarrow as pa
+
+    from codexlake.llm.lm import CLASSES, HIDDEN, SIDE
+
+    class At:  # the numbering of rows asks for the task
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    original, lm.TaskContext.get = lm.TaskContext.get, staticmethod(lambda: At)
+    try:
+        told = next(lm._classes(frequent, listed, buckets)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(4)), "text": texts, "h": list(range(4))})])))
+    finally:
+        lm.TaskContext.get = original
+    got = next(lm._score(flat)(iter([told]))).to_pydict()
+    net = lm.Network(flat)
+    for text, p, n, rare in zip(texts, got["log_prob"], got["n_tokens"], told.to_pydict()["rare"], strict=True):
+        ws = [w.encode() for w in text.split()]
+        cls = [frequent.index(w) + 1 if w in frequent else lm._bucket(w) for w in ws]
+        want = 0.0
+        for k, w in enumerate(ws):
+            h = net.hidden.astype(float).copy()
+            for j, d in enumerate(x for x in range(-SIDE, SIDE + 1) if x):
+                h += net.place[j][cls[k + d] if 0 <= k + d < len(ws) else 0]
+            z = np.tanh(h) @ net.out + net.bias
+            want += z[cls[k]] - np.log(np.exp(z).sum())
+            if w not in frequent:
+                want += (np.log(listed[w]) if w in listed else 0.0) - np.log(buckets[cls[k]])
+        assert n == len(ws) and p == pytest.approx(want, abs=1e-4) and rare == [w for w in ws if w.startswith(b"rare")]
+        assert len(h if ws else [0] * HIDDEN) == HIDDEN and CLASSES <= 256
+
+
 def test_network_gradient_learns_both_sides():
     rng = np.random.default_rng(0)
     left = rng.integers(1, 20, 6000)
