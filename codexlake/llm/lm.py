@@ -19,9 +19,11 @@ from .common import Scratch, row_slices, with_columns_of
 CLASSES, FREQUENT, SIDE, HIDDEN = 128, 95, 2, 16
 #: Tokens to a gradient step, and words a task counts before it sends its counts.
 STEP, COUNTED = 2048, 1 << 19
+#: Words (about) of a group that learns from one start, and of a slice of it that steps are drawn from.
+GROUP, SLICE = 1 << 21, 1 << 18
 #: Words of at least one in LISTED of all are handed to the tasks with their counts; the counts of all others are joined.
 LISTED = 1 << 17
-#: Models of tasks that one group adds up.
+#: Models of groups that one task adds up.
 FAN = 32
 _AROUND = [d for d in range(-SIDE, SIDE + 1) if d]
 
@@ -99,10 +101,12 @@ class Classes(dict):
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, log_prob, mean_log_prob, perplexity)`` for every row of ``docs``.
 
-    Words are counted over all whole texts; the most frequent are classes of their own.  The network is
-    learned on all documents in two rounds, each on one half by a hash: every task runs through its
-    documents from the same start, and the tasks' weights, averaged by tokens in a tree, start the next
-    round.  ``log_prob`` sums the log probability of each token given the tokens on both of its sides: that
+    Words are counted over all whole texts; the most frequent are classes of their own.  Each text is then
+    written once as its classes, a byte a word.  The network is learned on all documents in two rounds,
+    each on the groups of one parity: groups are dealt by a hash of id and text and hold about GROUP words, a group runs
+    through its documents in the order of the hash from the same start, and the groups' weights, averaged by
+    tokens in a tree, start the next round.  So the model doesn't depend on how the table is partitioned.
+    ``log_prob`` sums the log probability of each token given the tokens on both of its sides: that
     of its class by the network, and that of the word in its class by the counts of all documents.  The
     table of counts grows with the corpus and is joined with the words of each row; words too frequent to
     meet in one task are handed to the tasks instead, with the same counts.
@@ -115,21 +119,25 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = scratch.save(plain.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     most = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
     frequent = list(most)
-    flat = Network().flat
-    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))
-    for turn in (0, 1):
-        part = plain.where((half == turn) & F.col("text").isNotNull()).select("text")
-        sent = scratch.save(part.mapInArrow(_train(frequent, flat), "task long, n double, w binary"))
-        flat = _average(sent, flat)
-        scratch.drop(sent)
     buckets = _bucket_sums(counts, most)
     total = sum(most.values()) + sum(buckets.values())
     listed = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") * LISTED >= total).collect()}
     # written first: a row's number is that of the one run that was kept
-    scored = scratch.save(plain.mapInArrow(_score(frequent, flat, listed, buckets), "row long, doc_id long, n_tokens long, log_prob double, rare array<binary>"))
+    told = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(
+        _classes(frequent, listed, buckets), "row long, doc_id long, h long, classes binary, known double, rare array<binary>"
+    )
+    told = scratch.save(told)
+    flat = Network().flat
+    groups = 2 * max(1, -(-total // (2 * GROUP)))
+    dealt = told.where(F.length("classes") > 0).select("h", "classes", F.pmod("h", F.lit(groups)).alias("task"))
+    for turn in (0, 1):
+        sent = scratch.save(dealt.where(F.col("task") % 2 == turn).groupBy("task").applyInArrow(_train(flat), "task long, n double, w binary"))
+        flat = _average(sent, flat)
+        scratch.drop(sent)
+    scored = told.select("row", "doc_id", "classes", "known").mapInArrow(_score(flat), "row long, doc_id long, n_tokens long, log_prob double")
     others = counts.where(F.col("n") * LISTED < total).select("word", F.log("n").alias("more"))
-    more = scored.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("more").alias("more"))
-    whole = scored.select("row", "doc_id", "n_tokens", "log_prob").join(more, "row", "left")
+    more = told.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("more").alias("more"))
+    whole = scored.join(more, "row", "left")
     whole = whole.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return whole.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
@@ -181,62 +189,74 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def _split(texts: list[str | None]) -> list[list[bytes]]:
-    return [t.encode().lower().split() if t else [] for t in texts]
+def _classes(frequent: list[bytes], listed: dict[bytes, int], buckets: dict[int, int]):
+    """Numbered rows with the class of each word, the log share of ``listed`` words in their classes (of others, without their counts), and those others, as often as they occur."""
+    of_class = np.zeros(CLASSES)
+    for c, n in buckets.items():
+        of_class[c] = math.log(max(1, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(frequent)
+        own = {w: math.log(n) for w, n in listed.items()} | dict.fromkeys(frequent, 0.0)
+        get, count = classes.__getitem__, own.get
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in row_slices(batch, "text"):
+                found, known, rare = [], [], []
+                for text in part.column("text").to_pylist():
+                    words = text.encode().lower().split() if text else []
+                    c = np.fromiter(map(get, words), np.uint8, len(words))
+                    n = list(map(count, words))
+                    found.append(c.tobytes())
+                    rare.append([w for w, x in zip(words, n, strict=True) if x is None])
+                    known.append(math.fsum(filter(None, n)) - float(of_class @ np.bincount(c, minlength=CLASSES)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + len(found))), part.column("doc_id"), part.column("h"), pa.array(found, pa.binary()), pa.array(known, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
+                    ["row", "doc_id", "h", "classes", "known", "rare"],
+                )
+                row += len(found)
+
+    return run
 
 
-def _tokens(split: list[list[bytes]], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all texts with SIDE zeros before, between and after them; places and number of each text's."""
-    get = classes.__getitem__
-    n = np.array([len(w) for w in split], np.int64)
-    out = np.zeros(int(n.sum()) + SIDE * (len(n) + 1), np.int64)
+    n = np.array([len(c) for c in found], np.int64)
+    gap = bytes(SIDE)
+    out = np.frombuffer(gap + b"".join(c + gap for c in found), np.uint8)
     first = np.cumsum(n + SIDE) - n
-    for f, words in zip(first.tolist(), split, strict=True):
-        out[f : f + len(words)] = list(map(get, words))
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     return out, at, n
 
 
-def _train(frequent: list[bytes], start: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, classes, seen = Network(start), Classes(frequent), 0
-        for batch in batches:
-            for part in row_slices(batch, "text"):
-                tokens, at, _ = _tokens(_split(part.column("text").to_pylist()), classes)
-                steps = max(1, len(at) // STEP)
-                for k in range(steps if len(at) else 0):  # each step takes tokens from all of the slice
-                    net.learn(tokens, at[k::steps])
-                seen += len(at)
-        if seen:
-            w = (net.flat.astype(np.float64) * seen).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([w], pa.binary())], ["task", "n", "w"])
+def _train(start: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        net, seen = Network(start), 0
+        # rows equal in both are the same, so the order is one for every partitioning
+        order = sorted(zip(table.column("h").to_pylist(), table.column("classes").to_pylist(), strict=True))
+        while order:
+            some, size = [], 0
+            while order and (not some or size < SLICE):
+                some.append(order.pop()[1])
+                size += len(some[-1])
+            tokens, at, _ = _tokens(some)
+            steps = max(1, len(at) // STEP)
+            for k in range(steps):  # each step takes tokens from all of the slice
+                net.learn(tokens, at[k::steps])
+            seen += len(at)
+        return pa.table({"task": pa.array([table.column("task")[0].as_py()], pa.int64()), "n": [float(seen)], "w": pa.array([(net.flat.astype(np.float64) * seen).tobytes()], pa.binary())})
 
     return run
 
 
-def _score(frequent: list[bytes], flat: np.ndarray, listed: dict[bytes, int], buckets: dict[int, int]):
-    """Numbered rows with their sums but for the counts of words that are not ``listed``, and those words, as often as they occur."""
-    of_class = np.zeros(CLASSES)
-    for c, n in buckets.items():
-        of_class[c] = math.log(max(1, n))
-
+def _score(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, classes = Network(flat), Classes(frequent)
-        own = {w: math.log(n) for w, n in listed.items()} | dict.fromkeys(frequent, 0.0)
-        row = TaskContext.get().partitionId() << 40
+        net = Network(flat)
         for batch in batches:
-            for part in row_slices(batch, "text"):
-                split = _split(part.column("text").to_pylist())
-                tokens, at, n = _tokens(split, classes)
+            for part in row_slices(batch, "classes", SLICE):
+                tokens, at, n = _tokens(part.column("classes").to_pylist())
                 p = np.concatenate([net.log_probabilities(tokens, at[k : k + STEP]) for k in range(0, len(at), STEP)]) if len(at) else np.empty(0)
-                known = np.fromiter((own.get(w, 0.0) for words in split for w in words), np.float64, len(at))
-                p = p + known - of_class[tokens[at]]
-                total = np.bincount(np.repeat(np.arange(len(n)), n), weights=p, minlength=len(n))
-                rare = [[w for w in words if w not in own] for words in split]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(n))), part.column("doc_id"), pa.array(n), pa.array(total), pa.array(rare, pa.list_(pa.binary()))],
-                    ["row", "doc_id", "n_tokens", "log_prob", "rare"],
-                )
-                row += len(n)
+                total = np.bincount(np.repeat(np.arange(len(n)), n), weights=p, minlength=len(n)) + part.column("known").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n), pa.array(total)], ["row", "doc_id", "n_tokens", "log_prob"])
 
     return run
