@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ WORDS_PER_TOKEN = 0.75
 CJK_PER_TOKEN = 1.5
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, even if ``use`` has it in functions over arrays."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Array of the text's lines; an end of line at the end of the text begins no further line."""
     parts = F.split(text, LINE_END, -1)

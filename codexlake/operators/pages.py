@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import headings as H
 from ..functions import text as T
 
 LEAST_PAGES = 3
 #: A page number: up to four digits, or a canonical Roman numeral of 1 to 99, alone on its line.
-PAGE_NUMBER = r"(?iuU)^(?:\d{1,4}|(?=[ivxl])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))$"
+PAGE_NUMBER = rf"(?iuU)^(?:\d{{1,4}}|{'|'.join(H.roman(n) for n in range(1, 100))})$"
 
 
-def page_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, page_no, line_no, raw, s, edge)``; edge: 'first' or 'last' line of its page that is not blank, or 'both'."""
-    pages = docs.select(key, F.posexplode(F.split(F.col(text), "\f", -1)).alias("page_no", "page"))
-    rows = pages.select(key, "page_no", F.posexplode_outer(T.lines(F.col("page"))).alias("line_no", "raw"))
-    rows = rows.withColumn("s", T.strip(F.col("raw")))
-    at = F.when(F.col("s") != "", F.col("line_no"))
-    page = Window.partitionBy(key, "page_no")
-    rows = rows.withColumn("lo", F.min(at).over(page)).withColumn("hi", F.max(at).over(page))
-    first, last = F.col("line_no") == F.col("lo"), F.col("line_no") == F.col("hi")
-    return rows.withColumn("edge", F.when(first & last, "both").when(first, "first").when(last, "last")).drop("lo", "hi")
+def _edges(page: Column) -> Column:
+    """Places (from 0) of the first and the last line that is not blank, once if they are the same."""
+    full = F.filter(F.transform(page, lambda x, i: F.when(~T.is_blank(x), i)), lambda i: i.isNotNull())
+    return F.array_distinct(F.filter(F.array(F.get(full, F.lit(0)), F.get(full, F.size(full) - 1)), lambda i: i.isNotNull()))
 
 
-def running_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, s, votes)``: edge lines of more than half of all pages, of documents with LEAST_PAGES or more."""
-    pages = rows.groupBy(key).agg((F.max("page_no") + 1).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    votes = rows.where("edge is not null").groupBy(key, "s").agg(F.count("*").alias("votes"))
-    return votes.join(pages, key).where(F.col("votes") > F.col("pages") / 2).select(key, "s", "votes")
+def _running(pages: Column) -> Column:
+    """Edge lines that stand at the edges of more than half of the pages."""
+    edges = F.array_sort(F.flatten(F.transform(pages, lambda p: F.transform(p["at"], lambda i: T.strip(F.get(p["ls"], i))))))
+    # of sorted votes, a line with more than half of the pages stands at one of every ``half`` places at least
+    half = F.greatest(F.lit(1), F.floor(F.size(pages) / 2).cast("int"))
+    some = lambda votes: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.size(pages) * 2, half), lambda k: F.get(votes, k)), lambda x: x.isNotNull()))
+    return T.let(edges, lambda votes: F.filter(some(votes), lambda x: F.size(F.filter(votes, lambda v: v == x)) > F.size(pages) / 2))
+
+
+def _cleaned(pages: Column) -> Column:
+    """The text of an array of struct ``(ls, at)``, a page's lines and its edges, without edges that run through or number pages."""
+    gone = lambda running, x: F.array_contains(running, T.strip(x)) | T.strip(x).rlike(PAGE_NUMBER)
+    kept = lambda running: F.transform(pages, lambda p: F.filter(p["ls"], lambda x, i: ~(F.array_contains(p["at"], i) & gone(running, x))))
+    return T.let(_running(pages), lambda running: F.array_join(F.flatten(kept(running)), "\n"))
 
 
 def clean_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, text)``: page edges that run through the document or number pages are dropped, then hyphens rejoined.
 
-    Documents with fewer pages only have their page breaks turned into line breaks.
+    An edge runs through with more than half of all pages of a document with LEAST_PAGES or more; documents with
+    fewer pages only have their page breaks turned into line breaks.  All of it stays in the document's row.
     """
-    many = F.size(F.split(F.col(text), "\f", -1)) >= LEAST_PAGES
-    rows = page_lines(docs.where(many), key, text)
-    running = running_lines(rows, key).select(key, "s", F.lit(True).alias("runs"))
-    gone = F.col("edge").isNotNull() & (F.coalesce("runs", F.lit(False)) | F.col("s").rlike(PAGE_NUMBER))
-    kept = rows.join(running, [key, "s"], "left").where(~gone & F.col("raw").isNotNull())
-    parts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "raw"))).alias("parts"))
-    joined = docs.where(many).select(key).join(parts, key, "left")
-    joined = joined.select(key, F.coalesce(F.array_join(F.transform("parts", lambda x: x["raw"]), "\n"), F.lit("")).alias("text"))
-    short = docs.where(~many).select(key, F.translate(F.col(text), "\f", "\n").alias("text"))
-    return joined.unionByName(short).select(key, T.rejoin_hyphens(F.col("text")).alias("text"))
+    return docs.select(key, cleaned(F.col(text)).alias("text"))
+
+
+def cleaned(text: Column) -> Column:
+    pages = lambda page: F.transform(page, lambda ls: F.struct(ls.alias("ls"), _edges(ls).alias("at")))
+    page = F.transform(F.split(text, "\f", -1), lambda x: T.lines(x))
+    short = F.translate(text, "\f", "\n")
+    return T.rejoin_hyphens(T.let(page, lambda p: F.when(F.size(p) >= LEAST_PAGES, T.let(pages(p), _cleaned)).otherwise(short)))

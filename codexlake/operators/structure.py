@@ -1,8 +1,12 @@
-"""Structure of documents from their lines: numbered chapters, headings by depth, segments."""
+"""Structure of documents from their lines: numbered chapters, headings by depth, segments.
+
+A document's lines are one array in its row, and all that belongs to one document is found there, by
+functions over arrays: no line is ever shuffled, and texts are not either.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headings as H
@@ -11,19 +15,28 @@ from ..functions import text as T
 #: Numbered titles of one depth count as chapters from so many, with so many characters of body in the median.
 LEAST_TITLES, LEAST_BODY = 3, 200
 SAMPLE = 10
+DEPTHS = 6
+
 
+def line_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """``(key, ls)``: the lines of each document; none of a null text."""
+    return docs.select(key, F.coalesce(T.lines(F.col(text)), F.array().cast("array<string>")).alias("ls"), *more)
 
-def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, line_no, raw, s)``: a row a line, numbered from 0; ``s`` is stripped."""
-    rows = docs.select(F.col(key), F.posexplode(T.lines(F.col(text))).alias("line_no", "raw"))
-    return rows.withColumn("s", T.strip(F.col("raw")))
 
+def _indexed(ls: Column) -> Column:
+    return F.transform(ls, lambda x, i: F.struct(i.alias("line_no"), x.alias("raw")))
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines that are chapter headings, with ``number``."""
+
+def numbered(ls: Column) -> Column:
+    """Chapter headings among lines: ``array<struct<line_no, s, number>>``."""
     # most lines end at this test, before they are even stripped
-    some = lines.where(H.maybe_chapter(F.col("raw")))
-    return some.withColumn("number", H.chapter_number(F.col("s"))).where("number is not null")
+    some = F.transform(F.filter(_indexed(ls), lambda x: H.maybe_chapter(x["raw"])), lambda x: F.struct(x["line_no"].alias("line_no"), T.strip(x["raw"]).alias("s")))
+    told = F.transform(some, lambda x: F.struct(x["line_no"].alias("line_no"), x["s"].alias("s"), H.stripped_chapter_number(x["s"]).alias("number")))
+    return F.filter(told, lambda x: x["number"].isNotNull())
+
+
+def chapter_count(heads: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(heads, lambda h: h["number"]))).cast("long")
 
 
 def fenced_spans(marks: Column) -> Column:
@@ -46,60 +59,81 @@ def fenced_spans(marks: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["spans"])
 
 
-def unfenced(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``lines`` with ``fenced``: whether a closed fence holds the line."""
-    mark = F.regexp_extract("s", H.FENCE, 1)
-    fences = lines.where(mark != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", F.substring(mark, 1, 1).alias("ch")))).alias("marks"))
-    fences = fences.select(key, fenced_spans(F.col("marks")).alias("spans")).where(F.size("spans") > 0)
-    inside = F.exists("spans", lambda x: (x["a"] <= F.col("line_no")) & (F.col("line_no") <= x["z"]))
-    return lines.join(fences, key, "left").withColumn("fenced", F.coalesce(inside, F.lit(False))).drop("spans")
-
-
-def heading_rows(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, line_no, depth, title, numbered, body)`` of ATX, AsciiDoc and underlined headings outside fences.
+def headings(ls: Column) -> Column:
+    """ATX, AsciiDoc and underlined headings outside fences: ``array<struct<line_no, depth, title, numbered, body>>``.
 
     An underlined heading stands at its underline.  ``body``: characters of the lines up to the next
-    heading, line ends not counted.  One window over a document's lines serves all of it.
+    heading, line ends not counted.
     """
-    order = Window.partitionBy(key).orderBy("line_no")
-    marked = F.regexp_extract("s", H.ATX, 1)
-    title = F.lower(T.strip(F.regexp_extract("s", H.ATX, 2)))
-    rows = unfenced(lines, key).withColumn("atx", (marked != "") & ~F.col("fenced"))
-    plain = ~F.col("fenced") & ~F.col("atx") & ~F.col("s").rlike(H.UNDERLINE)
-    rows = rows.withColumn("prev", F.lag(F.when(plain, F.col("s")).otherwise(""), 1, "").over(order))
-    rows = rows.withColumn("before", F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = rows.groupBy(key).agg(F.sum(F.length("raw")).alias("total"))
-    under = ~F.col("fenced") & F.col("s").rlike(H.UNDERLINE) & (F.col("prev") != "") & (F.length("s") >= F.length("prev"))
-    named = F.col("atx") & title.rlike(H.WORD)
-    rows = rows.where(under | named).select(
-        key, "line_no", "before",
-        F.when(under, F.when(F.col("s").startswith("="), 1).otherwise(2)).otherwise(F.length(marked)).alias("depth"),
-        F.when(under, F.lower("prev")).otherwise(title).alias("title"),
-        (~under & title.rlike("^" + H.DIGIT)).alias("numbered"), (F.length("raw")).alias("own"),
+    # the few lines that begin like a heading, an underline or a fence
+    some = lambda lines: F.transform(F.filter(_indexed(lines), lambda x: x["raw"].rlike(H.MARKED)), lambda x: F.struct(x["line_no"].alias("line_no"), T.strip(x["raw"]).alias("s")))
+    marks = lambda few: F.transform(F.filter(few, lambda x: x["s"].rlike(H.FENCE)), lambda x: F.struct(x["line_no"].alias("line_no"), F.substring(x["s"], 1, 1).alias("ch")))
+    return T.let(ls, lambda lines: T.let(some(lines), lambda few: T.let(fenced_spans(marks(few)), lambda spans: T.let(_titles(lines, few, spans), lambda heads: _with_bodies(lines, heads)))))
+
+
+def _titles(lines: Column, few: Column, spans: Column) -> Column:
+    fenced = lambda i: F.exists(spans, lambda p: (p["a"] <= i) & (i <= p["z"]))
+    told = F.transform(
+        F.filter(few, lambda x: ~fenced(x["line_no"])),
+        lambda x: F.struct(
+            x["line_no"].alias("line_no"), x["s"].alias("s"), F.regexp_extract(x["s"], H.ATX, 1).alias("mark"), F.lower(T.strip(F.regexp_extract(x["s"], H.ATX, 2))).alias("title"),
+            F.when(x["s"].rlike(H.UNDERLINE) & (x["line_no"] > 0), T.strip(F.get(lines, x["line_no"] - 1))).alias("prev"),
+        ),
     )
-    rows = rows.join(total, key)
-    end = F.coalesce(F.lead(F.col("before") - F.col("own")).over(order), F.col("total"))
-    return rows.withColumn("body", end - F.col("before")).select(key, "line_no", "depth", "title", "numbered", "body")
+    plain = lambda x: (x["prev"] != "") & ~x["prev"].rlike(H.ATX) & ~x["prev"].rlike(H.UNDERLINE) & ~fenced(x["line_no"] - 1)
+    under = lambda x: F.coalesce(plain(x) & (F.length(x["s"]) >= F.length(x["prev"])), F.lit(False))
+    kept = F.filter(told, lambda x: under(x) | ((x["mark"] != "") & x["title"].rlike(H.WORD)))
+    head = lambda x, depth, title, numbered_: F.struct(x["line_no"].alias("line_no"), depth.alias("depth"), title.alias("title"), numbered_.alias("numbered"))
+    return F.transform(
+        kept,
+        lambda x: F.when(x["prev"].isNotNull(), head(x, F.when(x["s"].startswith("="), 1).otherwise(2), F.lower(x["prev"]), F.lit(False))).otherwise(
+            head(x, F.length(x["mark"]), x["title"], x["title"].rlike("^" + H.DIGIT))
+        ),
+    )
+
+
+def _with_bodies(lines: Column, heads: Column) -> Column:
+    def whole(sizes: Column, h: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(heads, k + 1)["line_no"], F.size(lines))
+        body = F.aggregate(F.slice(sizes, h["line_no"] + 2, end - h["line_no"] - 1), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.struct(*(h[c].alias(c) for c in ("line_no", "depth", "title", "numbered")), body.alias("body"))
+
+    sizes = F.when(F.size(heads) > 0, F.transform(lines, lambda x: F.length(x)))
+    return T.let(sizes, lambda n: F.transform(heads, lambda h, k: whole(n, h, k)))
+
+
+def depth_table(heads: Column) -> Column:
+    """Of each depth: ``array<struct<depth, n_titles, median_body, structural, titles>>``.
 
+    ``n_titles`` and ``median_body`` are of the titles that begin with a digit, ``structural`` whether these
+    count; ``titles`` is the number of distinct titles that count.
+    """
+
+    def one(all_: Column, d: Column) -> Column:
+        of = F.filter(all_, lambda h: h["depth"] == d)
+        return F.struct(d.alias("depth"), of.alias("of"), F.array_sort(F.transform(F.filter(of, lambda h: h["numbered"]), lambda h: h["body"])).alias("bodies"))
+
+    def judged(t: Column) -> Column:
+        n = F.size(t["bodies"])
+        median = (F.get(t["bodies"], F.floor((n - 1) / 2).cast("int")) + F.get(t["bodies"], F.floor(n / 2).cast("int"))) / 2
+        return F.struct(t["depth"].alias("depth"), t["of"].alias("of"), n.cast("long").alias("n_titles"), median.alias("median_body"), ((n >= LEAST_TITLES) & F.coalesce(median >= LEAST_BODY, F.lit(False))).alias("structural"))
+
+    def counted(t: Column) -> Column:
+        titles = F.size(F.array_distinct(F.transform(F.filter(t["of"], lambda h: ~h["numbered"] | t["structural"]), lambda h: h["title"])))
+        return F.struct(*(t[c].alias(c) for c in ("depth", "n_titles", "median_body", "structural")), titles.cast("long").alias("titles"))
 
-def numbered_depths(headings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, depth, n_titles, median_body, structural)`` of the depths with titles that begin with a digit."""
-    rows = headings.where("numbered").groupBy(key, "depth").agg(F.count("*").alias("n_titles"), F.percentile("body", 0.5).alias("median_body"))
-    return rows.withColumn("structural", (F.col("n_titles") >= LEAST_TITLES) & (F.col("median_body") >= LEAST_BODY))
+    return T.let(heads, lambda all_: F.transform(F.transform(F.transform(F.sequence(F.lit(1), F.lit(DEPTHS)), lambda d: one(all_, d)), judged), counted))
 
 
-def depth_titles(headings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, depth, titles)``: distinct titles of each depth that count."""
-    good = numbered_depths(headings, key).where("structural").select(key, "depth", F.lit(True).alias("good"))
-    rows = headings.join(good, [key, "depth"], "left").where("not numbered or good")
-    return rows.groupBy(key, "depth").agg(F.countDistinct("title").alias("titles"))
+def depth_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, depth, n_titles, median_body, structural, titles)``, a row a depth."""
+    return line_arrays(docs, key, text).select(key, F.inline(depth_table(headings(F.col("ls")))))
 
 
-def structural_count(headings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, chapters)``: titles of the shallowest depth with two or more, else of all depths."""
-    several = F.col("titles") >= 2
-    best = F.min_by(F.when(several, F.col("titles")), F.when(several, F.col("depth")))
-    return depth_titles(headings, key).groupBy(key).agg(F.coalesce(best, F.sum("titles")).alias("chapters"))
+def structural_count(table: Column) -> Column:
+    """Titles of the shallowest depth with two or more, else of all depths."""
+    several = lambda t: F.get(F.filter(t, lambda d: d["titles"] >= 2), F.lit(0))["titles"]
+    return T.let(table, lambda t: F.coalesce(several(t), F.aggregate(t, F.lit(0).cast("long"), lambda a, d: a + d["titles"])))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,49 +141,61 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Headings by depth are only sought in documents without numbered chapters.
     """
-    lines = line_rows(docs, key, text)
-    numbered = numbered_lines(lines).groupBy(key).agg(F.countDistinct("number").alias("numeric"), F.array_sort(F.collect_list(F.struct("line_no", "s"))).alias("found"))
-    plain = lines.join(numbered.select(key), key, "left_anti")
-    structural = structural_count(heading_rows(plain, key), key)
-    rows = docs.select(key, H.has_toc(F.col(text)).alias("has_toc")).join(numbered, key, "left").join(structural, key, "left")
-    n = F.coalesce("numeric", "chapters", F.lit(0))
-    method = F.when(F.col("numeric") > 0, "numeric").when(n > 0, "structural").otherwise("none")
-    sample = F.transform(F.slice(F.coalesce("found", F.array().cast("array<struct<line_no:int,s:string>>")), 1, SAMPLE), lambda x: x["s"])
-    return rows.select(key, n.cast("long").alias("chapters_detected"), method.alias("chapters_method"), sample.alias("chapter_headings_sample"), "has_toc")
+    rows = line_arrays(docs, key, text, F.coalesce(H.has_toc(F.col(text)), F.lit(False)).alias("has_toc"))
+    rows = rows.withColumn("heads", numbered(F.col("ls"))).withColumn("numeric", chapter_count(F.col("heads")))
+    n = F.when(F.col("numeric") > 0, F.col("numeric")).otherwise(structural_count(depth_table(headings(F.col("ls")))))
+    method = F.when(F.col("numeric") > 0, "numeric").when(F.col("n") > 0, "structural").otherwise("none")
+    sample = F.transform(F.slice("heads", 1, SAMPLE), lambda x: x["s"])
+    rows = rows.withColumn("n", n)
+    return rows.select(key, F.col("n").alias("chapters_detected"), method.alias("chapters_method"), sample.alias("chapter_headings_sample"), "has_toc")
+
+
+def segment_array(ls: Column) -> Column:
+    """``array<struct<seg_id, number, heading, body>>``: segment 0 is what stands before the first chapter heading, even if empty."""
+
+    def one(lines: Column, heads: Column, k: Column) -> Column:
+        head = F.get(heads, k - 1)
+        a, z = F.coalesce(head["line_no"], F.lit(0)), F.coalesce(F.get(heads, k)["line_no"], F.size(lines))
+        return F.struct(k.cast("long").alias("seg_id"), head["number"].alias("number"), F.coalesce(head["s"], F.lit("__front__")).alias("heading"), F.array_join(F.slice(lines, a + 1, z - a), "\n").alias("body"))
+
+    return T.let(ls, lambda lines: T.let(numbered(lines), lambda heads: F.transform(F.sequence(F.lit(0), F.size(heads)), lambda k: one(lines, heads, k))))
+
+
+def _segmented(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    return line_arrays(docs, key, text, *more).withColumn("segs", segment_array(F.col("ls"))).drop("ls")
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, seg_id, number, heading, body)``: segment 0 is what stands before the first chapter heading, even if empty."""
-    lines = line_rows(docs, key, text).withColumn("number", F.when(H.maybe_chapter(F.col("raw")), H.chapter_number(F.col("s"))))
-    order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("seg_id", F.count("number").over(order))
-    found = rows.groupBy(key, "seg_id").agg(
-        F.min_by("number", "line_no").alias("number"), F.min_by("s", "line_no").alias("heading"), F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("parts")
-    )
-    body = F.array_join(F.transform("parts", lambda x: x["raw"]), "\n")
-    found = found.select(key, "seg_id", "number", F.when(F.col("seg_id") == 0, "__front__").otherwise(F.col("heading")).alias("heading"), body.alias("body"))
-    front = docs.select(key, F.lit(0).cast("long").alias("seg_id")).join(found, [key, "seg_id"], "left_anti")
-    return found.unionByName(front.select(key, "seg_id", F.lit(None).cast("int").alias("number"), F.lit("__front__").alias("heading"), F.lit("").alias("body")))
+    """``(key, seg_id, number, heading, body)``, a row a segment."""
+    return _segmented(docs, key, text).select(key, F.inline("segs"))
 
 
 def best_chapters(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of each chapter number its segment with the most tokens, the first of equals: ``(key, number, heading, tokens)``."""
-    rows = segs.where("number is not null").withColumn("tokens", T.word_tokens(F.col("body")))
-    order = Window.partitionBy(key, "number").orderBy(F.desc("tokens"), "seg_id")
-    return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(key, "number", "heading", "tokens")
+    rows = segs.where("number is not null").select(key, "number", "heading", "seg_id", T.word_tokens(F.col("body")).alias("tokens"))
+    best = F.max_by(F.struct("heading", "tokens"), F.struct("tokens", -F.col("seg_id")))
+    return rows.groupBy(key, "number").agg(best.alias("b")).select(key, "number", "b.heading", "b.tokens")
 
 
 def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens that ways of answering one question cost: ``(key, target, dump, toc, best, loop, skill, vs_dump, vs_best, vs_loop)``."""
-    segs = segments(docs, key, text)
-    best = best_chapters(segs, key)
-    front = segs.where("seg_id = 0").select(key, "body")
-    at = H.toc_start(F.col("body"))
-    toc = front.select(key, T.word_tokens(F.when(at > 0, F.col("body").substr(at, F.length("body"))).otherwise(F.col("body"))).alias("toc"))
-    numbers = best.groupBy(key).agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.map_from_entries(F.collect_list(F.struct("number", "tokens"))).alias("sizes"))
+    """Tokens that ways of answering one question cost: ``(key, target, dump, toc, best, loop, skill, vs_dump, vs_best, vs_loop)``.
+
+    Documents without chapters have no row.  The target is a chapter's number, or where it is missing the
+    chapter in that place, or the last.
+    """
+    rows = _segmented(docs, key, text, T.word_tokens(F.col(text)).alias("dump"))
+    # one number a segment from here on; the texts end in this step
+    at = lambda body: H.toc_start(body)
+    body = F.get("segs", F.lit(0))["body"]
+    toc = T.word_tokens(F.when(at(body) > 0, body.substr(at(body), F.length(body))).otherwise(body))
+    sizes = F.transform(F.filter("segs", lambda s: s["number"].isNotNull()), lambda s: F.struct(s["number"].alias("number"), T.word_tokens(s["body"]).alias("tokens")))
+    rows = rows.select(key, "dump", toc.alias("toc"), sizes.alias("sizes")).where(F.size("sizes") > 0)
+    numbers = F.array_sort(F.array_distinct(F.transform("sizes", lambda s: s["number"])))
+    rows = rows.withColumn("numbers", numbers)
     pick = F.when(F.array_contains("numbers", target), target).otherwise(F.element_at("numbers", F.least(F.lit(target), F.size("numbers"))))
-    rows = docs.select(key, T.word_tokens(F.col(text)).alias("dump")).join(toc, key).join(numbers.withColumn("target", pick), key)
-    own, prior = F.element_at("sizes", F.col("target")), F.coalesce(F.try_element_at("sizes", F.col("target") - 1), F.lit(0))
+    rows = rows.withColumn("target", pick)
+    most = lambda n: F.array_max(F.transform(F.filter("sizes", lambda s: s["number"] == n), lambda s: s["tokens"]))
+    own, prior = most(F.col("target")), F.coalesce(most(F.col("target") - 1), F.lit(0))
     rows = rows.select(key, "target", "dump", "toc", (F.col("toc") + own).alias("best"), (F.col("toc") + own + prior).alias("loop"), F.lit(core + chapter).cast("long").alias("skill"))
     r = lambda c: T.ratio(F.col(c), F.col("skill"))
     return rows.select("*", r("dump").alias("vs_dump"), r("best").alias("vs_best"), r("loop").alias("vs_loop"))

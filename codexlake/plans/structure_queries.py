@@ -24,10 +24,9 @@ _NUMBERED = f"headed AS (SELECT *, CASE WHEN regexp_matches(s, '{_HEADING}') THE
   SELECT book, chapters, CAST({words_sql("text")} AS BIGINT) AS words, {estimate_sql("text")} AS estimated_tokens, CAST(length(text) AS BIGINT) AS chars FROM books JOIN c USING (book)""",
 )
 def book_chapter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books, t = D.books(spark, sf_dir), F.col("text")
-    found = structure.numbered_lines(structure.line_rows(books, "book")).groupBy("book").agg(F.countDistinct("number").alias("chapters"))
-    rows = books.join(found, "book", "left")
-    return rows.select("book", F.coalesce("chapters", F.lit(0)).cast("long").alias("chapters"), T.word_count(t).alias("words"), T.estimate_tokens(t).alias("estimated_tokens"), F.length(t).cast("long").alias("chars"))
+    t = F.col("text")
+    rows = structure.line_arrays(D.books(spark, sf_dir), "book", "text", t)
+    return rows.select("book", structure.chapter_count(structure.numbered(F.col("ls"))).alias("chapters"), T.word_count(t).alias("words"), T.estimate_tokens(t).alias("estimated_tokens"), F.length(t).cast("long").alias("chars"))
 
 
 @query(
@@ -57,8 +56,7 @@ _MARKED = rf"""ml AS (SELECT *, regexp_matches(s, '^`{{3,}}|^~{{3,}}') AS fence
 
 @query("structural_levels", f"WITH {D.MARKDOWN_SQL}, {_MARKED} SELECT book, CAST(depth AS INT) AS depth, titles FROM t")
 def structural_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = structure.line_rows(D.markdown(spark, sf_dir), "book")
-    return structure.depth_titles(structure.heading_rows(lines, "book"), "book").select("book", F.col("depth").cast("int").alias("depth"), "titles")
+    return structure.depth_rows(D.markdown(spark, sf_dir), "book").where("titles > 0").select("book", "depth", "titles")
 
 
 @query(
@@ -67,8 +65,8 @@ def structural_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT b.book, CAST(coalesce(t.titles, every) AS BIGINT) AS chapters FROM b LEFT JOIN t ON t.book = b.book AND t.depth = b.d""",
 )
 def structural_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = structure.line_rows(D.markdown(spark, sf_dir), "book")
-    return structure.structural_count(structure.heading_rows(lines, "book"), "book")
+    rows = structure.line_arrays(D.markdown(spark, sf_dir), "book")
+    return rows.select("book", structure.structural_count(structure.depth_table(structure.headings(F.col("ls")))).alias("chapters")).where("chapters > 0")
 
 
 @query(
@@ -76,8 +74,7 @@ def structural_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {D.MARKDOWN_SQL}, {_MARKED} SELECT book, CAST(depth AS INT) AS depth, n_titles, CAST(median_body AS DOUBLE) AS median_body, n_titles >= 3 AND median_body >= 200 AS structural FROM g""",
 )
 def numbered_titles_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = structure.line_rows(D.markdown(spark, sf_dir), "book")
-    return structure.numbered_depths(structure.heading_rows(lines, "book"), "book").withColumn("depth", F.col("depth").cast("int"))
+    return structure.depth_rows(D.markdown(spark, sf_dir), "book").where("n_titles > 0").drop("titles")
 
 
 _SEGMENTS = f"""{_NUMBERED}, seg AS (SELECT *, count(number) OVER (PARTITION BY book ORDER BY line_no) AS seg_id FROM headed),
