@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 # Tokens of a chapter by kind of book and depth, caps of the other files, prices of a run.
 BUDGETS = (("text", "reference", 800, 1200), ("text", "study", 1000, 1800), ("technical", "reference", 1200, 1800), ("technical", "study", 2000, 3000))
 CAPS = {"glossary": 1500, "patterns": 2000, "patterns_merged": 2500, "cheatsheet": 1200, "master": 4000}
@@ -22,9 +24,13 @@ def number_new(existing: DataFrame, new: DataFrame, order: str, number: str = "n
     """``new`` numbered on from the highest number of ``existing``, in ``order`` (within ``by``)."""
     part = [by] if by else []
     last = existing.groupBy(*part).agg(F.max(number).alias("_last"))
-    w = Window.partitionBy(*part).orderBy(order) if by else Window.partitionBy(F.lit(0)).orderBy(order)
-    rows = new.join(last, by, "left") if by else new.join(last, F.lit(True), "left")
-    return rows.withColumn(number, F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).drop("_last")
+    rows = ranked(new, [order], number, part)
+    if by:
+        last = last.withColumnRenamed(by, "_by")
+        rows = rows.join(last, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    else:
+        rows = rows.join(last, F.lit(True), "left")  # one row
+    return rows.withColumn(number, F.coalesce("_last", F.lit(0)) + F.col(number)).drop("_last")
 
 
 def preflight(tokens: Column, chapters: Column, kind: str) -> tuple[Column, Column]:

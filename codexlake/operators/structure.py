@@ -45,61 +45,85 @@ def fenced_spans(marks: Column) -> Column:
     A fold: a marker opens, the next of the same character closes, and one that is never closed masks
     nothing, though it has passed over markers of the other kind.
     """
-    start = F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).alias("a"), F.array().cast("array<struct<a:int,z:int>>").alias("spans"))
+    start = F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).cast("long").alias("a"), F.array().cast("array<struct<a:bigint,z:bigint>>").alias("spans"))
 
     def step(s: Column, m: Column) -> Column:
         closes = s["ch"] == m["ch"]
         span = F.array(F.struct(s["a"].alias("a"), m["line_no"].alias("z")))
         return (
             F.when(s["ch"].isNull(), F.struct(m["ch"].alias("ch"), m["line_no"].alias("a"), s["spans"].alias("spans")))
-            .when(closes, F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).alias("a"), F.concat(s["spans"], span).alias("spans")))
+            .when(closes, F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).cast("long").alias("a"), F.concat(s["spans"], span).alias("spans")))
             .otherwise(s)
         )
 
     return F.aggregate(marks, start, step, lambda s: s["spans"])
 
 
-def headings(ls: Column) -> Column:
-    """ATX, AsciiDoc and underlined headings outside fences: ``array<struct<line_no, depth, title, numbered, body>>``.
+def events(ls: Column) -> Column:
+    """The few lines that begin like a heading, an underline or a fence, and what headings need of the lines between:
+    ``array<struct<line_no, s, prev, own, gap>>``.
+
+    ``prev``: the stripped line before, ``own``: characters of the line, ``gap``: of those since the event before.
+    A last event, an empty line past the end, has what follows the others.
+    """
+
+    def one(lines: Column, sizes: Column, few: Column, i: Column, k: Column) -> Column:
+        since = F.coalesce(F.get(few, k - 1), F.lit(-1)) + 1
+        gap = F.aggregate(F.slice(sizes, since + 1, i - since), F.lit(0).cast("long"), lambda a, x: a + x)
+        inside = i < F.size(lines)
+        return F.struct(
+            i.cast("long").alias("line_no"), F.when(inside, T.strip(F.get(lines, i))).otherwise("").alias("s"), F.when(i > 0, T.strip(F.get(lines, i - 1))).otherwise("").alias("prev"),
+            F.when(inside, F.get(sizes, i)).otherwise(0).alias("own"), gap.alias("gap"),
+        )
+
+    few = lambda lines: F.concat(F.transform(F.filter(_indexed(lines), lambda x: x["raw"].rlike(H.MARKED)), lambda x: x["line_no"]), F.array(F.size(lines)))
+    sizes = lambda lines: F.transform(lines, lambda x: F.length(x))
+    return T.let(ls, lambda lines: T.let(sizes(lines), lambda n: T.let(few(lines), lambda at: F.transform(at, lambda i, k: one(lines, n, at, i, k)))))
+
+
+def headings_of(found: Column) -> Column:
+    """ATX, AsciiDoc and underlined headings outside fences among ``events``: ``array<struct<line_no, depth, title, numbered, body>>``.
 
     An underlined heading stands at its underline.  ``body``: characters of the lines up to the next
     heading, line ends not counted.
     """
-    # the few lines that begin like a heading, an underline or a fence
-    some = lambda lines: F.transform(F.filter(_indexed(lines), lambda x: x["raw"].rlike(H.MARKED)), lambda x: F.struct(x["line_no"].alias("line_no"), T.strip(x["raw"]).alias("s")))
-    marks = lambda few: F.transform(F.filter(few, lambda x: x["s"].rlike(H.FENCE)), lambda x: F.struct(x["line_no"].alias("line_no"), F.substring(x["s"], 1, 1).alias("ch")))
-    return T.let(ls, lambda lines: T.let(some(lines), lambda few: T.let(fenced_spans(marks(few)), lambda spans: T.let(_titles(lines, few, spans), lambda heads: _with_bodies(lines, heads)))))
+    marks = lambda e: F.transform(F.filter(e, lambda x: x["s"].rlike(H.FENCE)), lambda x: F.struct(x["line_no"].alias("line_no"), F.substring(x["s"], 1, 1).alias("ch")))
+    return T.let(found, lambda e: T.let(fenced_spans(marks(e)), lambda spans: T.let(_titles(e, spans), lambda heads: _with_bodies(e, heads))))
+
+
+def headings(ls: Column) -> Column:
+    return headings_of(events(ls))
 
 
-def _titles(lines: Column, few: Column, spans: Column) -> Column:
+def _titles(found: Column, spans: Column) -> Column:
     fenced = lambda i: F.exists(spans, lambda p: (p["a"] <= i) & (i <= p["z"]))
     told = F.transform(
-        F.filter(few, lambda x: ~fenced(x["line_no"])),
-        lambda x: F.struct(
-            x["line_no"].alias("line_no"), x["s"].alias("s"), F.regexp_extract(x["s"], H.ATX, 1).alias("mark"), F.lower(T.strip(F.regexp_extract(x["s"], H.ATX, 2))).alias("title"),
-            F.when(x["s"].rlike(H.UNDERLINE) & (x["line_no"] > 0), T.strip(F.get(lines, x["line_no"] - 1))).alias("prev"),
+        found,
+        lambda x, k: F.struct(
+            k.alias("k"), x["line_no"].alias("line_no"), x["s"].alias("s"), F.regexp_extract(x["s"], H.ATX, 1).alias("mark"), F.lower(T.strip(F.regexp_extract(x["s"], H.ATX, 2))).alias("title"),
+            F.when(x["s"].rlike(H.UNDERLINE), x["prev"]).otherwise("").alias("prev"),
         ),
     )
     plain = lambda x: (x["prev"] != "") & ~x["prev"].rlike(H.ATX) & ~x["prev"].rlike(H.UNDERLINE) & ~fenced(x["line_no"] - 1)
-    under = lambda x: F.coalesce(plain(x) & (F.length(x["s"]) >= F.length(x["prev"])), F.lit(False))
-    kept = F.filter(told, lambda x: under(x) | ((x["mark"] != "") & x["title"].rlike(H.WORD)))
-    head = lambda x, depth, title, numbered_: F.struct(x["line_no"].alias("line_no"), depth.alias("depth"), title.alias("title"), numbered_.alias("numbered"))
+    under = lambda x: plain(x) & (F.length(x["s"]) >= F.length(x["prev"]))
+    kept = F.filter(F.filter(told, lambda x: under(x) | ((x["mark"] != "") & x["title"].rlike(H.WORD))), lambda x: ~fenced(x["line_no"]))
+    head = lambda x, depth, title, numbered_: F.struct(x["k"].alias("k"), x["line_no"].alias("line_no"), depth.alias("depth"), title.alias("title"), numbered_.alias("numbered"))
     return F.transform(
         kept,
-        lambda x: F.when(x["prev"].isNotNull(), head(x, F.when(x["s"].startswith("="), 1).otherwise(2), F.lower(x["prev"]), F.lit(False))).otherwise(
+        lambda x: F.when(x["prev"] != "", head(x, F.when(x["s"].startswith("="), 1).otherwise(2), F.lower(x["prev"]), F.lit(False))).otherwise(
             head(x, F.length(x["mark"]), x["title"], x["title"].rlike("^" + H.DIGIT))
         ),
     )
 
 
-def _with_bodies(lines: Column, heads: Column) -> Column:
-    def whole(sizes: Column, h: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(heads, k + 1)["line_no"], F.size(lines))
-        body = F.aggregate(F.slice(sizes, h["line_no"] + 2, end - h["line_no"] - 1), F.lit(0).cast("long"), lambda a, x: a + x)
+def _with_bodies(found: Column, heads: Column) -> Column:
+    def whole(h: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(heads, j + 1)["k"], F.size(found))
+        between = F.aggregate(F.slice(found, h["k"] + 2, end - h["k"] - 1), F.lit(0).cast("long"), lambda a, x: a + x["own"] + x["gap"])
+        body = between + F.coalesce(F.get(found, end)["gap"], F.lit(0))
         return F.struct(*(h[c].alias(c) for c in ("line_no", "depth", "title", "numbered")), body.alias("body"))
 
-    sizes = F.when(F.size(heads) > 0, F.transform(lines, lambda x: F.length(x)))
-    return T.let(sizes, lambda n: F.transform(heads, lambda h, k: whole(n, h, k)))
+    return F.transform(heads, whole)
 
 
 def depth_table(heads: Column) -> Column:

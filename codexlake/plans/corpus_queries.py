@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -119,15 +119,14 @@ def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chapter_numbering",
-    """WITH old AS (SELECT source, max(k) AS last FROM (SELECT source, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS k, doc_id FROM documents WHERE doc_id < 500) GROUP BY source)
-  SELECT doc_id, source, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS number FROM documents LEFT JOIN old USING (source) WHERE doc_id >= 500 AND doc_id < 1000""",
+    """WITH old AS (SELECT source, count(*) AS last FROM documents WHERE doc_id % 2 = 0 GROUP BY source)
+  SELECT doc_id, source, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS number FROM documents LEFT JOIN old USING (source) WHERE doc_id % 2 = 1""",
 )
 def chapter_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New chapters, the ids from 500 to 999, are numbered on from those of the ids below."""
+    """Of the whole table the even ids are chapters that are there, numbered by source; the odd ones are new and numbered on."""
     docs = D.table(spark, sf_dir, "documents").select("doc_id", "source")
-    old = docs.where("doc_id < 500").withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
-    new = docs.where("doc_id >= 500 and doc_id < 1000")
-    return merge.number_new(old, new, "doc_id", by="source").select("doc_id", "source", F.col("number").cast("long").alias("number"))
+    old = merge.number_new(docs.where("doc_id < 0").withColumn("number", F.lit(0).cast("long")), docs.where("doc_id % 2 = 0"), "doc_id", by="source")
+    return merge.number_new(old, docs.where("doc_id % 2 = 1"), "doc_id", by="source").select("doc_id", "source", F.col("number").cast("long").alias("number"))
 
 
 @query(
