@@ -10,6 +10,8 @@ from ..functions import text as T
 from . import structure
 
 SUSPECT_WORDS = 5000
+#: Failures that a message names.
+REPORTED = 20
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -160,18 +160,18 @@ def structural_count(table: Column) -> Column:
     return T.let(table, lambda t: F.coalesce(several(t), F.aggregate(t, F.lit(0).cast("long"), lambda a, d: a + d["titles"])))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, chapters_detected, chapters_method, chapter_headings_sample, has_toc)`` of every document.
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """``(key, chapters_detected, chapters_method, chapter_headings_sample, has_toc)`` of every document, and the columns ``more``.
 
     Headings by depth are only sought in documents without numbered chapters.
     """
-    rows = line_arrays(docs, key, text, F.coalesce(H.has_toc(F.col(text)), F.lit(False)).alias("has_toc"))
+    rows = line_arrays(docs, key, text, F.coalesce(H.has_toc(F.col(text)), F.lit(False)).alias("has_toc"), *more)
     rows = rows.withColumn("heads", numbered(F.col("ls"))).withColumn("numeric", chapter_count(F.col("heads")))
     n = F.when(F.col("numeric") > 0, F.col("numeric")).otherwise(structural_count(depth_table(headings(F.col("ls")))))
     method = F.when(F.col("numeric") > 0, "numeric").when(F.col("n") > 0, "structural").otherwise("none")
     sample = F.transform(F.slice("heads", 1, SAMPLE), lambda x: x["s"])
     rows = rows.withColumn("n", n)
-    return rows.select(key, F.col("n").alias("chapters_detected"), method.alias("chapters_method"), sample.alias("chapter_headings_sample"), "has_toc")
+    return rows.select(key, F.col("n").alias("chapters_detected"), method.alias("chapters_method"), sample.alias("chapter_headings_sample"), *(c for c in rows.columns if c not in (key, "ls", "heads", "numeric", "n")))
 
 
 def segment_array(ls: Column) -> Column:

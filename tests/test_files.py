@@ -66,10 +66,64 @@ def test_scan_and_extract(spark, tmp_path):
     assert (epub_row["pages"], epub_row["pages_label"], epub_row["images_dropped"], epub_row["method"]) == (2, "spine_items", 1, "zipfile")
 
 
-def test_resolve_expands_home(monkeypatch, tmp_path):
+def test_resolve_expands_home(spark, monkeypatch, tmp_path):
     monkeypatch.setenv("HOME", str(tmp_path))
     (tmp_path / "x.txt").write_text("x")
-    assert files.resolve(["~/x.txt", "~/*.txt"]) == [(str(tmp_path / "x.txt"), None), (str(tmp_path / "*.txt"), [str(tmp_path / "x.txt")])]
+    asked = ["~/x.txt", "~/*.txt", "~", "~/none.txt", "~/*.pdf"]
+    assert files.resolve(spark, asked) == [("file", str(tmp_path / "x.txt")), ("pattern", str(tmp_path / "*.txt")), ("folder", str(tmp_path)), ("missing", str(tmp_path / "none.txt")), ("missing", str(tmp_path / "*.pdf"))]
+
+
+def test_folders_come_by_lower_cased_path(spark, tmp_path):
+    (tmp_path / "Sub" / "deep").mkdir(parents=True)
+    for name in ("Z.txt", "a.md", "d.rst", "f.txt", "Sub/c.txt", "Sub/deep/B.txt", "e.bin"):
+        (tmp_path / name).write_text(name)
+    for got in (files.scan_folder(spark, str(tmp_path)), files.scan(spark, [str(tmp_path)])):
+        rows = got.orderBy("source_ord").collect()
+        assert [r["source_ord"] for r in rows] == list(range(6)) and [r["filename"] for r in rows] == ["a.md", "d.rst", "f.txt", "c.txt", "B.txt", "Z.txt"]
+    deep = files.scan(spark, [str(tmp_path / "**" / "*.txt")]).orderBy("source_ord").collect()
+    assert [r["filename"] for r in deep] == ["f.txt", "c.txt", "B.txt", "Z.txt"]
+
+
+def test_each_file_is_parsed_once_and_falls_back(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def counted(content, decoded):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(decoded)
+        return f"read {decoded}"
+
+    def failing(content, decoded):
+        raise RuntimeError("no")
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(6):
+        (src / f"{k}.html").write_text(f"<p>{k}</p>")
+    (src / "t.txt").write_text("plain")
+    readers = files.READERS | {"html": (files.Reader("absent", failing, "no_such_module"), files.Reader("failing", failing), files.Reader("blank", lambda b, t: " "), files.Reader("counted", counted))}
+    got = files.extract(files.scan_folder(spark, str(src)), files.Options(readers=readers)).collect()
+    assert len(got) == 7 and len(list(log.iterdir())) == 6
+    assert {r["method"] for r in got} == {"counted", "plain-text"} and all(r["error"] is None for r in got)
+    only = files.extract(files.scan_folder(spark, str(src)), files.Options(readers={"html": readers["html"][:3]})).where("format = 'html'").first()
+    assert only["text"] is None and only["method"] is None and [x.split(":")[0] for x in only["error"].split("; ")] == ["absent", "failing", "blank"]
+
+
+def test_a_batch_fails_only_if_all_files_do(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("Chapter 1\nwords")
+    (tmp_path / "bad.docx").write_bytes(b"zz")
+    good, bad = files.extract_batch(files.scan(spark, [str(tmp_path)]))
+    assert [r["filename"] for r in good.collect()] == ["good.txt"] and [r["source_ord"] for r in bad.collect()] == [0]
+    whole = files.records(files.scan(spark, [str(tmp_path)])).orderBy("source_ord").collect()
+    assert [(r["chapters_detected"], r["chapters_method"]) for r in whole] == [(0, "none"), (1, "numeric")]
+    with pytest.raises(ValueError, match="all 2 sources failed"):
+        files.extract_batch(files.scan(spark, [str(tmp_path / "bad.docx"), str(tmp_path / "gone.pdf")]))
+
+
+def test_technical_mode_tries_the_layout_reader_first():
+    assert [r.method for r in files.Options(mode="technical").of("pdf")] == ["docling", "pdftotext", "pypdf", "pdfminer"]
+    assert [r.method for r in files.Options().of("pdf")] == ["pdftotext", "pypdf", "pdfminer"]
 
 
 def test_capabilities(spark):
