@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.text import WORD_END, WS
 
-_B = r"(?<![\p{L}\p{N}_])"
+WORD_START = r"(?<![\p{L}\p{N}_])"
 
 # Rule names, what they match, and their messages.
 RULES: dict[str, tuple[str, str]] = {
-    "prompt.ignore_previous": (rf"(?iu){_B}ignore{WS}+(?:(?:all|any|the){WS}+)?(?:previous|prior){WS}+(?:instructions?|prompts?|rules?|messages?){WORD_END}", "contains an instruction-override phrase"),
-    "prompt.disregard_system": (rf"(?iu){_B}disregard{WS}+(?:the{WS}+)?(?:system|developer){WORD_END}", "contains a system-instruction override phrase"),
-    "prompt.role_reassignment": (rf"(?iu){_B}you{WS}+are{WS}+now{WORD_END}", "contains a role-reassignment phrase"),
+    "prompt.ignore_previous": (rf"(?iu){WORD_START}ignore{WS}+(?:(?:all|any|the){WS}+)?(?:previous|prior){WS}+(?:instructions?|prompts?|rules?|messages?){WORD_END}", "contains an instruction-override phrase"),
+    "prompt.disregard_system": (rf"(?iu){WORD_START}disregard{WS}+(?:the{WS}+)?(?:system|developer){WORD_END}", "contains a system-instruction override phrase"),
+    "prompt.role_reassignment": (rf"(?iu){WORD_START}you{WS}+are{WS}+now{WORD_END}", "contains a role-reassignment phrase"),
     "prompt.fake_system_prefix": (rf"(?iu)^{WS}*(?:[-*]{WS}*)?(?:system|developer){WS}*:", "contains a system-like message prefix"),
     "prompt.system_tag": (rf"(?iu)<{WS}*/?{WS}*system{WORD_END}[^>]*>", "contains a system-message tag"),
     "prompt.chat_template_tag": (rf"(?iu)<\|{WS}*im_start{WS}*\|>|\[{WS}*INST{WS}*\]", "contains a model chat-template delimiter"),
@@ -23,11 +23,11 @@ RULES: dict[str, tuple[str, str]] = {
         "contains a tool-call control token",
     ),
 }
-_EXFILTRATE = rf"(?iu){_B}exfiltrat(?:e|es|ed|ing|ion){WORD_END}"
-_OUTBOUND = rf"(?iu){_B}(?:curl|wget|send|post|upload|transmit){WORD_END}|https?://"
-_SENSITIVE = rf"(?iu)\.env{WORD_END}|{_B}base64{WORD_END}|{_B}secrets?{WORD_END}|{_B}credentials?{WORD_END}|{_B}api[_ -]?keys?{WORD_END}"
-_TOOLS = rf"(?iu)^{WS}*allowed-tools{WS}*:"
-_INVOKED = rf"(?iu)^{WS}*disable-model-invocation{WS}*:{WS}*[\"']?(?:false|no|0)[\"']?{WS}*(?:#.*)?$"
+EXFILTRATE = rf"(?iu){WORD_START}exfiltrat(?:e|es|ed|ing|ion){WORD_END}"
+OUTBOUND = rf"(?iu){WORD_START}(?:curl|wget|send|post|upload|transmit){WORD_END}|https?://"
+SENSITIVE = rf"(?iu)\.env{WORD_END}|{WORD_START}base64{WORD_END}|{WORD_START}secrets?{WORD_END}|{WORD_START}credentials?{WORD_END}|{WORD_START}api[_ -]?keys?{WORD_END}"
+TOOLS = rf"(?iu)^{WS}*allowed-tools{WS}*:"
+INVOKED = rf"(?iu)^{WS}*disable-model-invocation{WS}*:{WS}*[\"']?(?:false|no|0)[\"']?{WS}*(?:#.*)?$"
 MAX_FILES, MAX_BYTES, MAX_TOTAL = 1000, 2 * 1024 * 1024, 20 * 1024 * 1024
 ENTRY_FILE = "SKILL.md"
 SUPPORT_FILES = ("glossary.md", "patterns.md", "cheatsheet.md")
@@ -67,9 +67,9 @@ def findings(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
         F.array(
             rule(raw.rlike(T.INVISIBLE_CLASS), "unicode.invisible", F.concat(F.lit("contains invisible Unicode code point(s): "), shown)),
             *(rule(raw.rlike(p), name, F.lit(m)) for name, (p, m) in RULES.items()),
-            rule(raw.rlike(_EXFILTRATE) | (raw.rlike(_OUTBOUND) & raw.rlike(_SENSITIVE)), "tool.exfiltration_shape", F.lit("contains exfiltration-shaped tool or sensitive-data language")),
-            rule(front & raw.rlike(_TOOLS), "frontmatter.allowed_tools", F.lit("generated frontmatter declares or widens tool authority")),
-            rule(front & raw.rlike(_INVOKED), "frontmatter.model_invocation_enabled", F.lit("generated frontmatter explicitly enables model invocation")),
+            rule(raw.rlike(EXFILTRATE) | (raw.rlike(OUTBOUND) & raw.rlike(SENSITIVE)), "tool.exfiltration_shape", F.lit("contains exfiltration-shaped tool or sensitive-data language")),
+            rule(front & raw.rlike(TOOLS), "frontmatter.allowed_tools", F.lit("generated frontmatter declares or widens tool authority")),
+            rule(front & raw.rlike(INVOKED), "frontmatter.model_invocation_enabled", F.lit("generated frontmatter explicitly enables model invocation")),
         )
     )
     return lines.select(key, "line", F.explode(hits).alias("f")).select(key, "line", "f.rule_id", "f.message")
@@ -78,14 +78,15 @@ def findings(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
 def scan_bundle(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings in order, Markdown files out of scope, and one status row of ``files(path, text)``.
 
-    Status: 2 when a limit on files or bytes is passed, or the entry file is missing; else 1 with findings; else 0.
+    Status: 2 when a limit on files or bytes is passed, the entry file is missing, or a file in scope could not be
+    read (its text is null: no valid UTF-8, or a link that the reader refused); else 1 with findings; else 0.
     """
     scoped = files.where(in_scope(F.col("path")))
     found = findings(scoped)
     skipped = files.where(F.lower("path").endswith(".md")).join(scoped.select("path"), "path", "left_anti").select("path")
     size = F.octet_length("text")
-    limits = scoped.agg(F.count("*").alias("n"), F.max(size).alias("most"), F.sum(size).alias("total"), F.count(F.when(F.col("path") == ENTRY_FILE, 1)).alias("entry"))
-    broken = (F.col("n") > MAX_FILES) | (F.col("most") > MAX_BYTES) | (F.col("total") > MAX_TOTAL) | (F.col("entry") == 0)
+    limits = scoped.agg(F.count("*").alias("n"), F.max(size).alias("most"), F.sum(size).alias("total"), F.count(F.when(F.col("path") == ENTRY_FILE, 1)).alias("entry"), F.count(F.when(F.col("text").isNull(), 1)).alias("unread"))
+    broken = (F.col("n") > MAX_FILES) | (F.col("most") > MAX_BYTES) | (F.col("total") > MAX_TOTAL) | (F.col("entry") == 0) | (F.col("unread") > 0)
     status = limits.join(found.agg(F.count("*").alias("findings")), F.lit(True))
-    status = status.select(F.when(F.coalesce(broken, F.lit(True)), 2).when(F.col("findings") > 0, 1).otherwise(0).alias("status"), F.col("n").alias("files"), "findings")
+    status = status.select(F.when(F.coalesce(broken, F.lit(True)), 2).when(F.col("findings") > 0, 1).otherwise(0).alias("status"), F.col("n").alias("files"), "unread", "findings")
     return found.orderBy(F.lower("path"), "line", "rule_id"), skipped, status

@@ -201,11 +201,27 @@ def best_chapters(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key, "number").agg(best.alias("b")).select(key, "number", "b.heading", "b.tokens")
 
 
-def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def skill_size(files: DataFrame, target: int, core: int = 4000, chapter: int = 1000) -> DataFrame:
+    """``(core, chapter, measured)``, one row: tokens of a bundle's entry file and of its chapter ``target``.
+
+    ``files(path, text)``.  Without the entry file ``core`` stands in; without the target's file the mean of
+    all chapter files, and without any ``chapter``.
+    """
+    rows = files.select("path", T.word_tokens(F.col("text")).alias("n"))
+    in_chapters = F.col("path").rlike(r"^chapters/[^/]*\.md$")
+    own = in_chapters & F.col("path").rlike(rf"ch0*{target}(?![\p{{L}}\p{{N}}_])[^/]*$")
+    entry = F.max(F.when(F.col("path") == "SKILL.md", F.col("n")))
+    mean = F.floor(F.sum(F.when(in_chapters, F.col("n"))) / F.count(F.when(in_chapters, 1)))
+    found = F.min_by(F.when(own, F.col("n")), F.when(own, F.col("path")))
+    measured = F.coalesce(F.nullif(F.coalesce(found, mean), F.lit(0)), F.lit(chapter)).cast("long")
+    return rows.agg(F.coalesce(entry, F.lit(core)).cast("long").alias("core"), measured.alias("chapter"), entry.isNotNull().alias("measured"))
+
+
+def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter: int = 1000, key: str = "doc_id", text: str = "text", skill: DataFrame | None = None) -> DataFrame:
     """Tokens that ways of answering one question cost: ``(key, target, dump, toc, best, loop, skill, vs_dump, vs_best, vs_loop)``.
 
     Documents without chapters have no row.  The target is a chapter's number, or where it is missing the
-    chapter in that place, or the last.
+    chapter in that place, or the last.  ``skill``: the one row of ``skill_size`` to use in place of ``core`` and ``chapter``.
     """
     rows = _segmented(docs, key, text, T.word_tokens(F.col(text)).alias("dump"))
     # one number a segment from here on; the texts end in this step
@@ -220,6 +236,9 @@ def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter:
     rows = rows.withColumn("target", pick)
     most = lambda n: F.array_max(F.transform(F.filter("sizes", lambda s: s["number"] == n), lambda s: s["tokens"]))
     own, prior = most(F.col("target")), F.coalesce(most(F.col("target") - 1), F.lit(0))
-    rows = rows.select(key, "target", "dump", "toc", (F.col("toc") + own).alias("best"), (F.col("toc") + own + prior).alias("loop"), F.lit(core + chapter).cast("long").alias("skill"))
+    size = F.lit(core + chapter).cast("long")
+    if skill is not None:  # one row
+        rows, size = rows.join(F.broadcast(skill.select((F.col("core") + F.col("chapter")).alias("_size"))), F.lit(True)), F.col("_size")
+    rows = rows.select(key, "target", "dump", "toc", (F.col("toc") + own).alias("best"), (F.col("toc") + own + prior).alias("loop"), size.alias("skill"))
     r = lambda c: T.ratio(F.col(c), F.col("skill"))
     return rows.select("*", r("dump").alias("vs_dump"), r("best").alias("vs_best"), r("loop").alias("vs_loop"))

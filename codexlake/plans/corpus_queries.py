@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, merge, scanner, validator
+from ..operators import corpus, merge, scanner, structure, validator
 from . import derived as D
 from .registry import query
-from .text_queries import estimate_sql, words_sql
+from .text_queries import estimate_sql, tokens_sql, words_sql
 
 
 @query(
@@ -58,26 +58,28 @@ def corpus_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "n_sources", "filename", "format", "words", F.col("images_dropped").cast("long").alias("images_dropped"), "chapters_detected", "chapters_method", "has_toc", "chapter_detection_suspect", files.alias("source_files"))
 
 
-_RULES_SQL = r"""VALUES
-  ('prompt.ignore_previous', '(?i)\bignore\s+(?:(?:all|any|the)\s+)?(?:previous|prior)\s+(?:instructions?|prompts?|rules?|messages?)\b'),
-  ('prompt.disregard_system', '(?i)\bdisregard\s+(?:the\s+)?(?:system|developer)\b'), ('prompt.role_reassignment', '(?i)\byou\s+are\s+now\b'),
-  ('prompt.fake_system_prefix', '(?i)^\s*(?:[-*]\s*)?(?:system|developer)\s*:'), ('prompt.system_tag', '(?i)<\s*/?\s*system\b[^>]*>'),
-  ('prompt.chat_template_tag', '(?i)<\|\s*im_start\s*\|>|\[\s*INST\s*\]'),
-  ('prompt.tool_call_tag', '(?i)<\|?\s*/?\s*tool[_ -]?call\s*\|?>|\[\s*/?\s*tool[_ -]?call\s*\]|\{\{\s*/?\s*tool[_ -]?call\s*\}\}|"\s*tool[_ -]?call\s*"')"""
+def _other_engine(pattern: str) -> str:
+    """A rule's expression as the other engine writes it: it knows no looking around and keeps white space to ASCII."""
+    told = pattern.replace("(?iu)", "(?i)").replace(scanner.WORD_START, r"\b").replace(T.WORD_END, r"\b").replace(T.WS, r"\s")
+    return "'" + told.replace("'", "''") + "'"
 
 
-@query(
-    "injection_findings",
-    rf"""WITH {D.POISONED_SQL}, l AS (SELECT *, CAST(line_no + 1 AS BIGINT) AS line FROM {D.lines_sql("poisoned", "doc_id")}), rules(rule_id, re) AS ({_RULES_SQL}),
-  ends AS (SELECT doc_id, min(CASE WHEN line_no = 0 THEN 0 END) AS a, min(CASE WHEN line_no > 0 THEN line_no END) AS z FROM l WHERE s = '---' GROUP BY doc_id),
-  front AS (SELECT l.* FROM l JOIN ends USING (doc_id) WHERE a = 0 AND line_no > 0 AND line_no < z)
-  SELECT doc_id, line, rule_id FROM l JOIN rules ON regexp_matches(raw, re)
-  UNION ALL SELECT doc_id, line, 'unicode.invisible' FROM l WHERE regexp_matches(raw, '[' || chr(8203) || chr(8238) || ']')
-  UNION ALL SELECT doc_id, line, 'tool.exfiltration_shape' FROM l WHERE regexp_matches(raw, '(?i)\bexfiltrat(?:e|es|ed|ing|ion)\b')
-    OR (regexp_matches(raw, '(?i)\b(?:curl|wget|send|post|upload|transmit)\b|https?://') AND regexp_matches(raw, '(?i)\.env\b|\bbase64\b|\bsecrets?\b|\bcredentials?\b|\bapi[_ -]?keys?\b'))
-  UNION ALL SELECT doc_id, line, 'frontmatter.allowed_tools' FROM front WHERE regexp_matches(raw, '(?i)^\s*allowed-tools\s*:')
-  UNION ALL SELECT doc_id, line, 'frontmatter.model_invocation_enabled' FROM front WHERE regexp_matches(raw, '(?i)^\s*disable-model-invocation\s*:\s*["'']?(?:false|no|0)["'']?\s*(?:#.*)?$')""",
-)
+_RULES_SQL = "VALUES " + ", ".join(f"('{name}', {_other_engine(p)})" for name, (p, _) in scanner.RULES.items())
+
+
+def _findings_sql(source: str, key: str) -> str:
+    lines, is_ = D.lines_sql(source, key), lambda p: f"regexp_matches(raw, {_other_engine(p)})"
+    return f"""l AS (SELECT *, CAST(line_no + 1 AS BIGINT) AS line FROM {lines}), rules(rule_id, re) AS ({_RULES_SQL}),
+  ends AS (SELECT {key}, min(CASE WHEN line_no = 0 THEN 0 END) AS a, min(CASE WHEN line_no > 0 THEN line_no END) AS z FROM l WHERE s = '---' GROUP BY {key}),
+  front AS (SELECT l.* FROM l JOIN ends USING ({key}) WHERE a = 0 AND line_no > 0 AND line_no < z),
+  findings AS (SELECT {key}, line, rule_id FROM l JOIN rules ON regexp_matches(raw, re)
+  UNION ALL SELECT {key}, line, 'unicode.invisible' FROM l WHERE regexp_matches(raw, '[' || chr(8203) || chr(8238) || ']')
+  UNION ALL SELECT {key}, line, 'tool.exfiltration_shape' FROM l WHERE {is_(scanner.EXFILTRATE)} OR ({is_(scanner.OUTBOUND)} AND {is_(scanner.SENSITIVE)})
+  UNION ALL SELECT {key}, line, 'frontmatter.allowed_tools' FROM front WHERE {is_(scanner.TOOLS)}
+  UNION ALL SELECT {key}, line, 'frontmatter.model_invocation_enabled' FROM front WHERE {is_(scanner.INVOKED)})"""
+
+
+@query("injection_findings", f"WITH {D.POISONED_SQL}, {_findings_sql('poisoned', 'doc_id')} SELECT doc_id, line, rule_id FROM findings")
 def injection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanner.findings(D.poisoned(spark, sf_dir), "doc_id").select("doc_id", F.col("line").cast("long").alias("line"), "rule_id")
 
@@ -100,6 +102,74 @@ def skill_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validator.audit(D.bundle(spark, sf_dir), "claude")
 
 
+def _lens_sql(lens: str) -> str:
+    known = validator.LENSES[lens][0]
+    reads = "Read" in known
+    bad = "tools IN (1, 2)" if reads else "tools < 3"
+    strict = "UNION ALL SELECT path, 'error', 'tools.none_known' FROM bundle WHERE has_front AND tools = 2" if validator.LENSES[lens][4] else ""
+    reserved = "UNION ALL SELECT path, 'error', 'name.reserved' FROM bundle WHERE has_front AND name = 'claude-helper'" if validator.LENSES[lens][2] else ""
+    return f"""WITH {D.BUNDLE_SQL}, f AS (
+    SELECT path, 'error' AS severity, 'frontmatter.missing' AS rule FROM bundle WHERE NOT has_front
+    UNION ALL SELECT path, 'error', 'name.characters' FROM bundle WHERE has_front AND name = 'Bad Name'
+    UNION ALL SELECT path, 'error', 'name.long' FROM bundle WHERE has_front AND length(name) > 64 {reserved}
+    UNION ALL SELECT path, 'error', 'description.missing' FROM bundle WHERE has_front AND NOT has_description
+    UNION ALL SELECT path, 'error', 'tools.shell_blocked' FROM bundle WHERE has_front AND tools < 3 AND shell {strict}
+    UNION ALL SELECT path, 'warn', 'tools.unknown' FROM bundle WHERE has_front AND {bad}
+    UNION ALL SELECT path, 'warn', 'key.unknown:color' FROM bundle WHERE has_front AND has_color)
+  SELECT path, '{lens}' AS lens, severity, rule FROM f"""
+
+
+@query("skill_validation_copilot", _lens_sql("copilot"))
+def skill_validation_copilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validator.audit(D.bundle(spark, sf_dir), "copilot")
+
+
+@query("skill_validation_amp", _lens_sql("amp"))
+def skill_validation_amp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validator.audit(D.bundle(spark, sf_dir), "amp")
+
+
+_SCOPED_SQL = "scoped AS (SELECT * FROM files WHERE path IN ('SKILL.md', 'glossary.md', 'patterns.md', 'cheatsheet.md') OR (path LIKE 'chapters/%' AND path LIKE '%.md'))"
+
+
+@query("bundle_findings", f"WITH {D.BUNDLE_TEXT_SQL}, {_SCOPED_SQL}, {_findings_sql('scoped', 'path')} SELECT path, line, rule_id FROM findings")
+def bundle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanner.scan_bundle(D.bundle(spark, sf_dir))[0].select("path", F.col("line").cast("long").alias("line"), "rule_id")
+
+
+@query(
+    "bundle_status",
+    f"""WITH {D.BUNDLE_TEXT_SQL}, {_SCOPED_SQL}, {_findings_sql('scoped', 'path')},
+  c AS (SELECT count(*) AS files, max(octet_length(encode(text))) AS most, sum(octet_length(encode(text))) AS total, count(CASE WHEN path = 'SKILL.md' THEN 1 END) AS entry, (SELECT count(*) FROM findings) AS findings FROM scoped)
+  SELECT CAST(CASE WHEN files > 1000 OR most > 2097152 OR total > 20971520 OR entry = 0 THEN 2 WHEN findings > 0 THEN 1 ELSE 0 END AS INT) AS status, files, CAST(0 AS BIGINT) AS unread, findings FROM c""",
+)
+def bundle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanner.scan_bundle(D.bundle(spark, sf_dir))[2]
+
+
+@query(
+    "skill_size",
+    f"""WITH {D.BUNDLE_TEXT_SQL}, t AS (SELECT path, {tokens_sql("text")} AS n FROM files)
+  SELECT CAST(max(CASE WHEN path = 'SKILL.md' THEN n END) AS BIGINT) AS core, CAST(max(CASE WHEN path = 'chapters/ch4.md' THEN n END) AS BIGINT) AS chapter, true AS measured FROM t""",
+)
+def skill_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.skill_size(D.bundle(spark, sf_dir), 4)
+
+
+@query(
+    "corpus_structure",
+    f"""WITH {D.STRUCTURED_SQL}, j AS (SELECT book, odd, count(*) AS n_sources, regexp_replace(string_agg({_BANNER} || text, '' ORDER BY source_ord), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS t, max(source_ord) AS k,
+    string_agg(CASE WHEN odd AND source_ord <= 10 THEN 'Chapter ' || CAST(source_ord AS VARCHAR) ELSE '' END, '' ORDER BY source_ord) AS sample FROM src GROUP BY book, odd)
+  SELECT book, n_sources, CAST(length(t) AS BIGINT) AS chars, CAST({words_sql("t")} AS BIGINT) AS words, {estimate_sql("t")} AS estimated_tokens, CAST(CASE WHEN odd THEN least(k, 99) ELSE k END AS BIGINT) AS chapters_detected,
+    CASE WHEN odd THEN 'numeric' ELSE 'structural' END AS chapters_method, sample, k >= 3 AS has_toc, CAST(k * (k + 1) // 2 AS BIGINT) AS pages,
+    NOT odd AND k <= 1 AND {words_sql("t")} > 5000 AS chapter_detection_suspect FROM j""",
+)
+def corpus_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.structured_sources(spark, sf_dir).withColumns({"format": F.lit("text"), "method": F.lit("plain-text"), "size_bytes": F.octet_length("text"), "images_dropped": F.lit(None).cast("int")})
+    got = corpus.metadata(rows, "book")
+    return got.select("book", "n_sources", "chars", "words", "estimated_tokens", "chapters_detected", "chapters_method", F.array_join("chapter_headings_sample", "").alias("sample"), "has_toc", F.col("pages").cast("long").alias("pages"), "chapter_detection_suspect")
+
+
 @query("out_of_scope_files", f"WITH {D.BUNDLE_SQL} SELECT path FROM bundle WHERE path LIKE '%.md' AND path NOT IN ('SKILL.md', 'glossary.md', 'patterns.md', 'cheatsheet.md') AND path NOT LIKE 'chapters/%'")
 def out_of_scope_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanner.scan_bundle(D.bundle(spark, sf_dir))[1]

@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 BOOK = 1000
 
 
-#: Tables of at most so many bytes may be one file that no scan can split.
-SMALL = 256 << 20
+#: Session setting: into how many parts a table is dealt before its queries; for tables that are one file of one row group, which no scan can split.
+PARTS = "codexlake.table.parts"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a small one is dealt out, so that all cores read the texts of its one row group."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if cores > 1 and int(str(size)) <= SMALL else df
+    df, parts = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get(PARTS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +140,53 @@ BUNDLE_SQL = """bundle AS (
   FROM documents)"""
 
 
+_NL = "chr(10)"
+#: The same files with their whole text.
+BUNDLE_TEXT_SQL = f"""{BUNDLE_SQL}, files AS (
+  SELECT path, CASE WHEN doc_id % 9 = 8 THEN 'no frontmatter' || {_NL} ELSE '---' || {_NL} END || 'name: ' || name || {_NL} || CASE WHEN has_description THEN 'description: "what it does"' || {_NL} ELSE '' END
+    || CASE tools WHEN 0 THEN 'allowed-tools:' || {_NL} || '  - Read' || {_NL} || '  - Grep' || {_NL} WHEN 1 THEN 'allowed-tools: Frob Read' || {_NL} WHEN 2 THEN 'allowed-tools: Frob(x)' || {_NL} ELSE '' END
+    || CASE WHEN has_color THEN 'color: red' || {_NL} ELSE '' END || '---' || {_NL} || CASE WHEN doc_id % 2 = 0 THEN '```bash' || {_NL} || 'ls' || {_NL} || '```' || {_NL} ELSE '' END || text AS text
+  FROM bundle)"""
+
+
+#: A heading line for every document, in one script or another, some of them none; its number is known.
+_FA_DIGITS, _TH_DIGITS = "۰۱۲۳۴۵۶۷۸۹", "๐๑๒๓๔๕๖๗๘๙"
+
+
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    n = (d % 99 + 1).cast("string")
+    thai, persian = F.translate(n, "0123456789", _TH_DIGITS), F.translate(n, "0123456789", _FA_DIGITS)
+    parts = ([F.lit("Chapter "), n], [F.lit("第"), n, F.lit("章 开始")], [F.lit("บทที่ "), thai], [F.lit("제"), n, F.lit("장 총칙")], [F.lit("فصل "), persian, F.lit(": آغاز")], [F.lit("Chapter "), n, F.lit(" explores it")], [F.lit("## Kapitel "), n, F.lit(". Anfang")], [F.lit("see "), n], [F.lit("= CAPÍTULO "), n], [F.lit("# ตอนที่ "), n])
+    line = F.lit(None).cast("string")
+    for k, part in enumerate(parts):
+        line = F.when(d % len(parts) == k, F.concat(*part)).otherwise(line)
+    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+
+
+#: Sources in groups: every other group has numbered chapters, the others titles by depth, and a table of contents in one source.
+def structured_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered_docs(spark, sf_dir)
+    odd = F.length("book") % 2 == 1
+    head = F.when(odd, F.concat(F.lit("Chapter "), F.col("k").cast("string"))).otherwise(F.concat(F.lit("## Part "), F.col("k").cast("string")))
+    text = F.concat(F.when(F.col("k") == 3, "Contents\n").otherwise(""), head, F.lit("\n"), F.col("text"))
+    return rows.select("book", F.col("k").alias("source_ord"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), F.concat(F.lit("/b/"), F.col("doc_id").cast("string")).alias("path"), text.alias("text"), F.col("k").cast("int").alias("pages"))
+
+
+STRUCTURED_SQL = f"""{NUMBERED_SQL}, src AS (SELECT book, k AS source_ord, 'd' || CAST(doc_id AS VARCHAR) AS filename, '/b/' || CAST(doc_id AS VARCHAR) AS path, length(book) % 2 = 1 AS odd,
+    CASE WHEN k = 3 THEN 'Contents' || chr(10) ELSE '' END || CASE WHEN length(book) % 2 = 1 THEN 'Chapter ' ELSE '## Part ' END || CAST(k AS VARCHAR) || chr(10) || text AS text FROM numbered)"""
+
+
+#: Texts with characters of scripts without spaces put in by id.
+def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    more = F.concat(F.repeat(F.lit("漢字かな"), (d % 7).cast("int")), F.repeat(F.lit(" 한국어"), (d % 5).cast("int")), F.repeat(F.lit("𠀀"), (d % 3).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", more).alias("text"))
+
+
+MIXED_SQL = "mixed AS (SELECT doc_id, text || repeat('漢字かな', doc_id % 7) || repeat(' 한국어', doc_id % 5) || repeat('𠀀', doc_id % 3) AS text FROM documents)"
+
+
 def lines_sql(source: str, key: str, text: str = "text") -> str:
     """Lines of a text column as rows ``(key, line_no, raw, s)``, numbered from 0."""
     split = f"regexp_split_to_array({text}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')"

@@ -141,3 +141,11 @@ _CASES = (
 )
 def multilingual_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(line,) for line, _ in _CASES], "line string").select("line", H.chapter_number(F.col("line")).alias("number"))
+
+
+@query(
+    "heading_numbers",
+    "SELECT doc_id, CAST(CASE WHEN doc_id % 10 IN (5, 7) THEN NULL ELSE doc_id % 99 + 1 END AS INT) AS number FROM documents",
+)
+def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.heading_lines(spark, sf_dir).select("doc_id", H.chapter_number(F.col("line")).alias("number"))

@@ -42,6 +42,12 @@ def doc_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("shown", T.human_tokens(F.col("estimated_tokens")))
 
 
+@query("mixed_script_tokens", f"WITH {D.MIXED_SQL} SELECT doc_id, {estimate_sql('text')} AS estimated_tokens, CAST(len(regexp_extract_all(text, '{_CJK}')) AS BIGINT) AS cjk FROM mixed")
+def mixed_script_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.mixed_scripts(spark, sf_dir).select("doc_id", T.estimate_tokens(t).alias("estimated_tokens"), T.cjk_count(t).alias("cjk"))
+
+
 @query(
     "line_stats",
     f"""SELECT doc_id, count(*) AS n_lines, count(CASE WHEN s = '' THEN 1 END) AS n_blank, CAST(max(length(raw)) AS BIGINT) AS longest, CAST(sum(length(s)) AS BIGINT) AS stripped_chars
