@@ -114,3 +114,41 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')
   c AS (SELECT rid, count(*) AS n FROM k GROUP BY rid)
 SELECT doc_id, octet_length(b) AS n_bytes, CAST(octet_length(b) - h.n AS BIGINT) AS n_removed, coalesce(c.n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
 FROM d JOIN h USING (rid) LEFT JOIN c USING (rid)"""
+
+# every pair of documents that share a shingle, so for small tables only
+ORACLES["op1_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0d\x20]+'), lambda x: x <> '') AS ws FROM documents),
+  s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) BETWEEN 1 AND 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' ')) END)) AS g FROM d),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+  c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+ORACLES["op3_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0d\x20]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+  k AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+  w AS (SELECT source, source_size, [1, 2, 3][r % 3 + 1]::DOUBLE AS w, [0.5, 1.0, 1.5][r % 3 + 1]::DOUBLE AS ramp, 3.0::DOUBLE * source_size AS cap FROM k),
+  -- sources that reach their caps are found one level after another
+  v AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS total, row_number() OVER o AS k
+    FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+  lv AS (SELECT arg_min((total - filled) / open, k) FILTER (WHERE (total - filled) / open <= cap / w) AS share FROM v),
+  t AS (SELECT source, source_size, ramp, least(cap, coalesce(share * w, cap)) AS target FROM w, lv),
+  s AS (SELECT d.*, source_size, target, ramp, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  p AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words FROM s),
+  q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, least(1.0::DOUBLE, (start + size / 2::DOUBLE) / greatest(target, 1.0::DOUBLE)) AS due FROM p)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, words - passes * source_size - start)))::BIGINT AS taken, source,
+  2 * due / (ramp + sqrt(greatest(0.0::DOUBLE, ramp * ramp + 4 * (1 - ramp) * due))) AS position FROM q"""
+
+# every pair of vectors of a label, so for small tables only
+ORACLES["op8_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+  ok AS (SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+  r(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+  c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept FROM v LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)"""
