@@ -19,6 +19,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of a digest that every engine has: the order of a source's documents."""
+    told = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ramps: tuple[float, ...] = (0.5, 1.0, 1.5), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken, position, h, passes, extra, start, ramp)``.
 
@@ -39,12 +45,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ramps: tuple[floa
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     plain = with_columns_of(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    sized = scratch.save(plain.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h")))
+    sized = scratch.save(plain.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_hash(F.col("doc_id"), F.col("text")).alias("h")))
     target = targets(sized, weights, ramps)
     # slots are equal ranges of the hash, as many as the largest source needs
     most = sized.groupBy("source").agg(F.sum("size").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     slots = max(1, -(-most // SLOT))
-    span = min((1 << 63) // slots + 1, (1 << 63) - 1)
+    span = (1 << 60) // slots + 1
     slot = F.least(F.floor(F.expr(f"h div {span}L")), F.lit(slots - 1)).cast("long")
     placed = sized.withColumn("slot", slot)
     sums = running_totals(placed.groupBy("source", "slot").agg(F.sum("size").alias("n")), "source", "slot", "n", "before")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .minhash import minhash_dedup
-from .mixing import in_training_order, mix, training_position
+from .mixing import in_training_order, mix, place_hash, training_position
 from .packing import pack, public_tokenizer
 from .quality import classify
 from .suffix import suffix_dedup
@@ -73,7 +73,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks, in training order; of a last cut copy its first words."""
     docs = docs.select(*COLUMNS)
     plan = mix(docs).where("taken > 0").dropDuplicates(["doc_id", "h"])
-    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    key = place_hash(F.col("doc_id"), F.col("text"))
     plan = plan.select(F.col("doc_id").alias("_id"), "h", "size", "source_size", "target", "passes", "extra", "start", "ramp")
     whole = docs.withColumn("_h", key).join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")))
     turns = F.col("passes") + (F.col("extra") > 0).cast("long")
