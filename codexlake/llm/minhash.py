@@ -81,15 +81,29 @@ def _links(spark: SparkSession, plain: DataFrame, classes: DataFrame, percent: i
     # 2. bands in which other classes than the pivot's still lie in different components
     label = scratch.save(components(found, scratch))
     known = member.where("m > 2").join(label, F.col("rep") == F.col("node"), "left").select("band", "m", "rep", "pivot", F.coalesce("component", "rep").alias("of"))
-    open_ = known.where("rep <> pivot").groupBy("band").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("band")
-    tiles = F.ceil(F.col("m") / TILE)
-    own = F.pmod(F.xxhash64("rep"), tiles)
-    tiled = known.where("rep <> pivot").join(open_, "band").withColumn("own", own)
-    tiled = tiled.select("band", "rep", "of", "own", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
-    tiled = tiled.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "of")
-    tiled = tiled.join(sets, F.col("rep") == F.col("doc_id")).select("band", "i", "j", "own", "rep", "of", "items")
-    rest = tiled.groupBy("band", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    return found.union(rest)
+    rest = known.where("rep <> pivot")
+    # of each such band its largest component there; only the other classes have to meet it, and each other
+    size = rest.groupBy("band", "of").agg(F.count("*").alias("c")).groupBy("band")
+    size = size.agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.max("c").alias("big"), (F.sum("c") - F.max("c")).alias("others"))
+    # written first, like the bands above
+    open_ = scratch.save(size.where("others > 0").select("band", "main", F.ceil(F.col("big") / TILE).alias("wide"), F.ceil(F.col("others") / TILE).alias("tiles")))
+    tiled = rest.join(open_, "band").select("rep", "of", "band", "wide", "tiles", (F.col("of") == F.col("main")).alias("is_main"))
+    return found.union(_dealt(tiled).join(sets, F.col("rep") == F.col("doc_id")).groupBy("band", "i", "j").applyInArrow(_tile(percent), "a long, b long"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``(band, i, j, rep, of)``: classes dealt to pairs of tiles, so that any two of different components meet, and no two of the largest have to.
+
+    A tile of other classes (``i``) meets every tile of the largest component (``j`` below 0) and of other
+    classes (``j`` from ``i`` on): the largest is sent as often as there are tiles of others.
+    """
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("wide")).otherwise(F.col("tiles")))
+    rows = rows.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    main = F.transform(upto("tiles"), lambda k: pair(k, -1 - F.col("own")))
+    other = F.concat(F.transform(upto("wide"), lambda k: pair(F.col("own"), -1 - k)), F.transform(upto("tiles"), lambda k: pair(F.least(k, F.col("own")), F.greatest(k, F.col("own")))))
+    return rows.select("band", "rep", "of", F.explode(F.when(F.col("is_main"), main).otherwise(other)).alias("p")).select("band", "p.i", "p.j", "rep", "of")
 
 
 def _sign(rows: int):
