@@ -50,7 +50,7 @@ def learn(labelled: DataFrame) -> dict:
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = labelled.where(draw < F.element_at(share, F.col("lang")))
-    rows = some.select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, f binary").collect()
+    rows = some.select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, f binary").dropDuplicates().collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["f"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
