@@ -16,7 +16,7 @@ from .rules import base_counts
 #: Labelled documents to learn from (about), and the strongest prior that a variance estimate may give.
 SAMPLE, STRONGEST = 4000, 10_000.0
 _MARKS = b"#*$%&|!?.,;:<>\"'()[]{}@/\\-_=+~^"
-FEATURES = len(_MARKS) + 11
+FEATURES = len(_MARKS) + 9
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 
 
@@ -31,7 +31,7 @@ def features(text: str | None) -> np.ndarray:
     distinct = len(set(raw.lower().split())) / words
     other = [
         upper / max(1, upper + lower), np.sqrt(digit / size), count[128:].sum() / size, c["n_repeat_words"] / words, c["n_dup_lines"] / max(1, c["n_lines"]),
-        np.log1p(c["n_words"]) / 10, np.log1p(c["word_chars"] / words), distinct, np.log1p(words / max(1, c["n_lines"])) / 5, raw.count(b"!!") / words, raw.count(b" | ") / words,
+        np.log1p(c["n_words"]) / 10, np.log1p(c["word_chars"] / words), distinct, np.log1p(words / max(1, c["n_lines"])) / 5,
     ]
     return np.concatenate([marks, other]).astype(np.float32)
 
@@ -40,7 +40,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     """``(doc_id, evidence, host_posterior, path_posterior, score, kept)`` for every row of ``docs``.
 
     ``evidence``: the probability of good quality by a logistic classifier of the text alone, learned from
-    about SAMPLE rows of ``labels(doc_id, quality)`` drawn by a hash.  Hosts have a Beta prior around the
+    about SAMPLE rows of ``labels(doc_id, quality)`` drawn by a hash, repeated rows once.  Hosts have a Beta prior around the
     mean evidence of all documents, its strength from the variance between hosts; a path has one around
     its host's posterior.  Sites with few documents so stay near what stands above them.  ``score`` moves
     a document's log odds by those of its path against all; documents under ``threshold`` aren't kept.
@@ -91,7 +91,7 @@ def learn(seen: DataFrame, labels: DataFrame) -> dict | None:
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     share = SAMPLE / max(SAMPLE, told.count())
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = seen.join(told.where(draw < share).withColumnRenamed("doc_id", "l"), F.col("label_id") == F.col("l")).select("label_id", "f", "quality").collect()
+    rows = seen.join(told.where(draw < share).withColumnRenamed("doc_id", "l"), F.col("label_id") == F.col("l")).select("label_id", "f", "quality").dropDuplicates().collect()
     rows.sort(key=lambda r: (r["label_id"], list(r["f"])))
     if len({r["quality"] >= 0.5 for r in rows}) < 2:
         return None
