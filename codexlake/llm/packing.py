@@ -17,6 +17,8 @@ from .tokens import tokenizer
 
 #: Tokens of a sequence, which is one round of the queues; tokens of a queue that go together; tokens (about) of a slice.
 WINDOW, LEAST, SLICE = 2048, 64, 1 << 18
+#: Rows that may be broadcast, some 10 MB.
+HANDED = 1 << 17
 #: Bytes of text encoded at once: more words at once make fewer rounds of merges.
 ENCODED = 4 << 20
 
@@ -55,11 +57,14 @@ def pack(
         plain = plain.repartitionByRange(*by).sortWithinPartitions(*by)
     ids = scratch.save(plain.select("doc_id", "text", "source").mapInArrow(_encode(tokenizer_path, end_id), "part long, row long, doc_id long, source string, within long, n long, ids binary"))
     sums = scratch.save(ids.groupBy("source", "part").agg(F.sum("n").alias("n")))
-    total = sums.agg(F.sum("n").alias("n")).first()["n"] or 0
+    size = sums.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    total = size["n"] or 0
     slices = max(1, -(-total // SLICE))
     every = sums.groupBy("source").agg((F.sum("n") / F.lit(float(max(1, total)))).alias("share")).withColumnRenamed("source", "of")
     told = running_totals(sums, "source", "part", "n", "before")
     told = told.join(every, F.col("source").eqNullSafe(F.col("of"))).select("of", F.col("part").alias("p"), "before", "share")
+    # a row a source and part of the table: handed to the tasks while these are few, so that the ids are dealt out once
+    told = F.broadcast(told) if size["rows"] <= HANDED else told
     placed = ids.join(told, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("p")))
     cut = _sliced(placed.select("row", "doc_id", "source", "share", (F.col("before") + F.col("within")).alias("b"), "n", "ids"), slices)
     base = running_totals(cut.groupBy("slot").agg(F.sum("length").alias("n")), F.lit(0), "slot", "n", "base").select(F.col("slot").alias("of_slot"), "base")
@@ -133,6 +138,7 @@ def rounds(share: list[float], first: list[int], last: list[int], base: int) ->
 
 def _pack(docs: pa.Table, told: pa.Table) -> pa.Table:
     """One slice: its queues in code-point order, null last; a queue's documents in their order."""
+    tokenizer.cache_clear()  # the words that a worker has remembered are of no more use
     source = docs.column("source").to_pylist()
     names = sorted(set(source), key=lambda s: (s is None, s or ""))
     rank = {s: k for k, s in enumerate(names)}
