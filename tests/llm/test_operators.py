@@ -83,6 +83,23 @@ def test_minhash(docs, corpus, monkeypatch, tile):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def test_classes_of_different_components_meet(spark):
+    rng = random.Random(2)
+    rows = [(band, rep, rep if rng.random() < 0.4 else -1) for band, n in ((1, 40), (2, 7), (3, 15)) for rep in range(band * 100, band * 100 + n)]
+    frame = []
+    for band in (1, 2, 3):
+        mine = [r for r in rows if r[0] == band]
+        count = Counter(r[2] for r in mine)
+        main, big = max(count.items(), key=lambda x: (x[1], x[0]))
+        frame += [(rep, of, b, -(-big // 4), -(-(len(mine) - big) // 4), of == main) for b, rep, of in mine]
+    got = minhash._dealt(spark.createDataFrame(frame, "rep long, of long, band long, wide long, tiles long, is_main boolean")).collect()
+    tiles = {}
+    for r in got:
+        tiles.setdefault((r["band"], r["i"], r["j"]), []).append((r["rep"], r["of"]))
+    met = {(a[0], b[0]) for t in tiles.values() for a in t for b in t if a[0] < b[0] and a[1] != b[1]}
+    assert met == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+
+
 def test_band_rows():
     assert [minhash.band_rows(p) for p in (80, 85, 100)] == [7, 8, 20]
 
@@ -272,6 +289,120 @@ def test_tokens_are_the_librarys():
     assert [np.frombuffer(x, t.kind).tolist() for x in t.ids(texts)] == [t.library.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_empty_tables(empty, spark):
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert minhash.minhash_dedup(empty).count() == suffix.suffix_dedup(empty).count() == embedding.embedding_dedup(vectors).count() == 0
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(31)
+    long = prose(rng, 500_000)  # over two slices of numpy's
+    assert len(long) > 2 << 20
+    passage = long[1_500_000:1_500_400]
+    rows = [(1, long, "en", "s", 0), (2, "x " * 50 + passage + " y" * 50, "en", "s", 0), (3, "short and alone", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in suffix.suffix_dedup(spark.createDataFrame(rows, DOC)).collect()}
+    text = {k: t.encode() for k, t, *_ in rows}
+    count = Counter(hash(t[k : k + 200]) for t in text.values() for k in range(len(t) - 199))
+    for k, t in text.items():
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if count[hash(t[i : i + 200])] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        assert (got[k]["n_bytes"], got[k]["n_removed"]) == (len(t), sum(gone)) and got[k]["kept_sha256"] == hashlib.sha256(bytes(x for x, g in zip(t, gone, strict=True) if not g)).hexdigest()
+    assert got[2]["n_removed"] >= 400
+
+
+def test_starts_pass_through_the_merge(spark):
+    """At production parameters: copies that fill several shards, and a passage that shards of different texts share."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(32)
+    base, passage = prose(rng, 60_000), prose(rng, 80)
+    rows = [(k, base) for k in range(8)] + [(100 + k, prose(rng, 2000) + passage) for k in range(6)] + [(200 + k, base[1000 * k : 1000 * k + 3000] + prose(rng, 50)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "t")
+    found = suffix.shards(suffix.pieces(docs.withColumn("rid", F.xxhash64("doc_id", "text")), scratch), scratch)
+    starts = lambda df: df.agg(F.sum(F.col("z") - F.col("a") + 1).alias("n")).first()["n"] or 0
+    assert found.where("prints is not null").count() > 1
+    assert starts(suffix.merged(found, scratch)) > 100_000  # each shard's first of a string is known by the others alone
+    got = {r["doc_id"]: r for r in suffix.suffix_dedup(docs).collect()}
+    assert all(got[k]["n_removed"] == len(base) and got[k]["n_spans"] == 1 for k in range(8))
+    assert all(got[100 + k]["n_removed"] >= len(passage) and got[200 + k]["n_removed"] >= 3000 for k in range(6))
+
+
+def test_extra_columns_that_clash(spark, corpus):
+    from pyspark.sql import functions as F
+
+    names = "rid row h n ids part within at key slot own digest band m words size passes task evidence host path kept component node u v classes known rare".split()
+    frame = spark.createDataFrame([r for r in corpus if len(r[1] or "") < 5000], DOC)
+    odd = frame.withColumns({c: F.lit("clash") for c in names})
+    path = packing.public_tokenizer()
+    runs = (
+        lambda d: minhash.minhash_dedup(d), lambda d: suffix.suffix_dedup(d), lambda d: mixing.mix(d).drop("h"), lambda d: packing.pack(d, path).groupBy("doc_id").agg(F.sum("length")), lambda d: langid.identify(d).select("doc_id", "held_out"),
+        lambda d: rules.quality_rules(d), lambda d: lm.pseudo_likelihood(d).select("doc_id", "n_tokens"),
+        lambda d: quality.classify(d, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), F.col("source"), F.col("lang")).select("doc_id"),
+    )
+    for run in runs:
+        assert sorted(map(str, run(odd).collect())) == sorted(map(str, run(frame).collect()))
+
+
+def test_repeated_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_null_ids_in_quality(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None, "some text here", "en", "s", 0), (None, None, None, None, 0), (1, "more text", "en", "s", 0)], DOC)
+    told = spark.createDataFrame([(None, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, told, F.col("source"), F.col("lang")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "None", "None"]
+
+
+def test_decoding_chooses_the_nearest_codeword():
+    import math
+
+    rng = np.random.default_rng(5)
+    code = langid.codewords(6)
+    bits = code.shape[1]
+    model = {"w": np.eye(bits), "b": rng.standard_normal(bits), "code": code, "weight": rng.random(bits) / bits}
+    x = rng.standard_normal((40, bits)) * 3
+    best, score, unsure = langid.decode(model, x)
+    for k in range(40):
+        far = [sum(w * math.log1p(math.exp(-c * (m + b))) for w, c, m, b in zip(model["weight"], word, x[k], model["b"], strict=True)) for word in code]
+        near = sorted(range(6), key=far.__getitem__)
+        assert best[k] == near[0] and unsure[k] == (far[near[1]] - far[near[0]] < langid.GAP)
+        assert score[k] == pytest.approx(1 / sum(math.exp((far[near[0]] - f) * bits) for f in far))
+
+
+def test_posteriors_by_hand(spark):
+    rng = random.Random(11)
+    rows = [(f"h{k % 5}" if k % 11 else None, f"p{k % 3}", rng.random() ** (1 + k % 5)) for k in range(300)]
+    got = {(r["h"], r["p"]): r for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
+
+    def sums(key):
+        out = {}
+        for h, p, e in rows:
+            n, g = out.get(key(h, p), (0, 0.0))
+            out[key(h, p)] = n + 1, g + e
+        return out
+
+    def strength(sites):
+        n, g = sum(s[0] for s in sites), sum(s[1] for s in sites)
+        mean = g / n
+        between = max(sum(s[1] ** 2 / s[0] for s in sites) / n - mean**2 - mean * (1 - mean) * len(sites) / n, 1e-9)
+        return min(quality.STRONGEST, max(1.0, mean * (1 - mean) / between - 1))
+
+    paths, hosts = sums(lambda h, p: (h, p)), sums(lambda h, p: h)
+    prior, hk, pk = sum(e for *_, e in rows) / len(rows), strength(hosts.values()), strength(paths.values())
+    assert set(got) == set(paths)
+    for (h, p), (n, g) in paths.items():
+        host = (hosts[h][1] + hk * prior) / (hosts[h][0] + hk)
+        assert got[h, p]["host_posterior"] == pytest.approx(host) and got[h, p]["path_posterior"] == pytest.approx((g + pk * host) / (n + pk))
+
+
 def test_language_codes():
     for k in (1, 2, 4, 5, 6, 12, 40):
         code = langid.codewords(k)
