@@ -33,7 +33,7 @@ CALIBRE = (".mobi", ".azw", ".azw3")
 SUFFIXES = (".pdf", ".epub", ".docx", ".rtf", *TEXTS, *PAGES, *CALIBRE)
 #: What each format's readers need beyond the standard library.
 NEEDS = {
-    "pdf": ("docling", "pdftotext", "pypdf", "pdfminer"), "mobi": ("ebook-convert",), "epub": ("ebooklib", "bs4"), "docx": ("docx",), "rtf": ("striprtf",), "html": (), "text": (),
+    "pdf": ("docling", "pdftotext", "pypdf", "pdfminer"), "mobi": ("ebook-convert",), "epub": ("ebooklib", "bs4"), "docx": ("docx",), "rtf": ("striprtf",), "html": ("trafilatura", "bs4"), "text": (),
 }
 _PROGRAMS = ("pdftotext", "ebook-convert")
 
@@ -59,24 +59,24 @@ def here(tool: str) -> bool:
     return shutil.which(tool) is not None if tool in _PROGRAMS else importlib.util.find_spec(tool) is not None
 
 
-def _run(tool: str, content: bytes, suffix: str, *more: str) -> str | None:
+def _run(tool: str, content: bytes, suffix: str, seconds: int, *more: str) -> str | None:
     """A program that reads one file and writes another; both lie in a folder of the task that is gone afterwards."""
     with tempfile.TemporaryDirectory() as folder:
         source, target = os.path.join(folder, f"in{suffix}"), os.path.join(folder, "out.txt")
         with open(source, "wb") as f:
             f.write(content)
-        done = subprocess.run([tool, *more, source, target], capture_output=True, timeout=600, check=False)
+        done = subprocess.run([tool, *more, source, target], capture_output=True, timeout=seconds, check=False)
         if done.returncode or not os.path.exists(target):
             return None
         with open(target, encoding="utf-8", errors="replace") as f:
             return f.read()
 
 
-def _pypdf_pages(content: bytes) -> list[str]:
+def _pypdf_pages(content: bytes, most: int | None = None) -> list[str]:
     import pypdf
 
     out = []
-    for page in pypdf.PdfReader(io.BytesIO(content)).pages:
+    for page in pypdf.PdfReader(io.BytesIO(content)).pages[:most]:
         try:
             out.append(page.extract_text() or "")
         except Exception:  # a page that fails is an empty page
@@ -109,9 +109,38 @@ def _ebooklib(content: bytes, _: str | None) -> str:
 
 
 def _python_docx(content: bytes, _: str | None) -> str:
+    """Paragraphs, then the tables' rows, cells joined by tabs."""
     import docx
 
-    return "\n".join(p.text for p in docx.Document(io.BytesIO(content)).paragraphs)
+    document = docx.Document(io.BytesIO(content))
+    rows = ["\t".join(c.text.strip() for c in row.cells) for table in document.tables for row in table.rows]
+    return "\n".join([p.text for p in document.paragraphs] + [r for r in rows if r.strip()])
+
+
+def _trafilatura(_: bytes | None, decoded: str | None) -> str | None:
+    import trafilatura
+
+    return trafilatura.extract(decoded or "")
+
+
+def _bs4(_: bytes | None, decoded: str | None) -> str:
+    import bs4
+
+    page = bs4.BeautifulSoup(decoded or "", "html.parser")
+    for part in page(["script", "style", "head"]):
+        part.decompose()
+    return page.get_text("\n")
+
+
+def pictures_only(content: bytes) -> bool:
+    """Whether the first pages of a PDF hold no text; no, where nothing is there that could tell."""
+    try:
+        if here("pdftotext"):
+            text = _run("pdftotext", content, ".pdf", 120, "-l", "5")
+            return text is not None and not text.strip()
+        return here("pypdf") and not any(p.strip() for p in _pypdf_pages(content, 5))
+    except Exception:
+        return False
 
 
 def _striprtf(_: bytes | None, decoded: str | None) -> str:
@@ -127,21 +156,30 @@ READERS: dict[str, tuple[Reader, ...]] = {
     "rtf": (Reader("striprtf", _striprtf, "striprtf"), Reader("rtf-fallback", lambda _, t: markup.rtf_text(t or ""))),
     "html": (Reader("html-parser", lambda _, t: markup.html_text(t or "")),),
     "pdf": (
-        Reader("pdftotext", lambda b, _: _run("pdftotext", b, ".pdf", "-layout"), "pdftotext"), Reader("pypdf", lambda b, _: "\f".join(_pypdf_pages(b)), "pypdf"), Reader("pdfminer", _pdfminer, "pdfminer"),
+        Reader("pdftotext", lambda b, _: _run("pdftotext", b, ".pdf", 120, "-layout"), "pdftotext"), Reader("pypdf", lambda b, _: "\f".join(_pypdf_pages(b)), "pypdf"), Reader("pdfminer", _pdfminer, "pdfminer"),
     ),
-    "mobi": (Reader("ebook-convert", lambda b, _: _run("ebook-convert", b, ".mobi"), "ebook-convert"),),
+    "mobi": (Reader("ebook-convert", lambda b, _: _run("ebook-convert", b, ".mobi", 300), "ebook-convert"),),
 }
 
 
 @dataclass(frozen=True)
 class Options:
-    """How files are read.  ``mode`` is ``text`` or ``technical``: the latter tries the layout-aware PDF reader first."""
+    """How files are read.
+
+    ``mode`` is ``text`` or ``technical``: the latter tries the layout-aware PDF reader first; anything else
+    is ``text``.  ``main_text``: pages are first tried by readers that leave menus and such out.
+    """
 
     mode: str = "text"
+    main_text: bool = False
     readers: dict[str, tuple[Reader, ...]] = field(default_factory=lambda: dict(READERS))
 
     def of(self, kind: str) -> tuple[Reader, ...]:
-        first = (Reader("docling", _docling, "docling"),) if self.mode == "technical" and kind == "pdf" else ()
+        first: tuple[Reader, ...] = ()
+        if self.mode == "technical" and kind == "pdf":
+            first = (Reader("docling", _docling, "docling"),)
+        if self.main_text and kind == "html":
+            first = (Reader("trafilatura", _trafilatura, "trafilatura"), Reader("bs4", _bs4, "bs4"))
         return first + self.readers.get(kind, ())
 
 
@@ -225,6 +263,8 @@ def read_one(kind: str | None, content: bytes | None, decoded: str | None, optio
     row: dict = {"text": None, "method": None, "pages": 0, "pages_label": "sections", "images_dropped": None, "error": None}
     failed = []
     try:
+        if kind == "pdf" and pictures_only(content):
+            return row | {"error": "the first pages hold pictures only"}
         readers = options.of(kind or "")
         for reader in readers:
             if not reader.present():

@@ -124,6 +124,35 @@ def test_a_batch_fails_only_if_all_files_do(spark, tmp_path):
 def test_technical_mode_tries_the_layout_reader_first():
     assert [r.method for r in files.Options(mode="technical").of("pdf")] == ["docling", "pdftotext", "pypdf", "pdfminer"]
     assert [r.method for r in files.Options().of("pdf")] == ["pdftotext", "pypdf", "pdfminer"]
+    assert [r.method for r in files.Options(main_text=True).of("html")] == ["trafilatura", "bs4", "html-parser"]
+
+
+def test_pages_of_a_pdf(monkeypatch):
+    """A stand-in for the reader: a page that fails is empty, and pictures in front reject the file."""
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text == "fail":
+                raise RuntimeError("no")
+            return self.text
+
+    given = []
+    module = types.ModuleType("pypdf")
+    module.PdfReader = lambda f: types.SimpleNamespace(pages=given)
+    monkeypatch.setitem(sys.modules, "pypdf", module)
+    monkeypatch.setattr(files, "here", lambda t: t == "pypdf")
+    given[:] = [Page("one"), Page("fail"), Page("three")]
+    got = files.read_one("pdf", b"%PDF", None, files.Options())
+    assert (got["text"], got["method"], got["pages"], got["pages_label"]) == ("one\f\fthree", "pypdf", 3, "pages")
+    given[:] = [Page("")] * 5 + [Page("late")]
+    assert files.read_one("pdf", b"%PDF", None, files.Options())["error"] == "the first pages hold pictures only"
+    monkeypatch.setattr(files, "here", lambda t: False)
+    assert files.read_one("pdf", b"%PDF", None, files.Options())["error"].startswith("pdftotext: pdftotext is not there")
 
 
 def test_capabilities(spark):
