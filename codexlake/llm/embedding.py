@@ -159,9 +159,10 @@ def _tile(threshold: float, exact: bool):
             links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             root = forest(n, a, b)
         hit = (links > 0) | open_
-        get = lambda c: table.column(c).to_numpy()[order][hit]
-        out = {c: pa.array(get(c)) for c in ("label", "dim", "i", "j", "own", "rid", "vec_id")}
+        out = table.select(["label", "dim", "i", "j", "own", "rid", "vec_id"]).take(pa.array(order[hit]))
         vec = table.column("vec_id").to_numpy()[order]
-        return pa.table(out | {"links": links[hit], "root": vec[root][hit], "open": open_[hit]})
+        for name, values in (("links", links[hit]), ("root", vec[root][hit]), ("open", open_[hit])):
+            out = out.append_column(name, pa.array(values))
+        return out
 
     return run
