@@ -18,9 +18,11 @@ BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one of our own, on one machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="codexlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
