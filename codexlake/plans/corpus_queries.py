@@ -161,13 +161,13 @@ def skill_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {D.STRUCTURED_SQL}, j AS (SELECT book, odd, count(*) AS n_sources, regexp_replace(string_agg({_BANNER} || text, '' ORDER BY source_ord), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS t, max(source_ord) AS k,
     string_agg(CASE WHEN odd AND source_ord <= 10 THEN 'Chapter ' || CAST(source_ord AS VARCHAR) ELSE '' END, '' ORDER BY source_ord) AS sample FROM src GROUP BY book, odd)
   SELECT book, n_sources, CAST(length(t) AS BIGINT) AS chars, CAST({words_sql("t")} AS BIGINT) AS words, {estimate_sql("t")} AS estimated_tokens, CAST(CASE WHEN odd THEN least(k, 99) ELSE k END AS BIGINT) AS chapters_detected,
-    CASE WHEN odd THEN 'numeric' ELSE 'structural' END AS chapters_method, sample, k >= 3 AS has_toc, CAST(k * (k + 1) // 2 AS BIGINT) AS pages,
+    CASE WHEN odd THEN 'numeric' ELSE 'structural' END AS chapters_method, sample, k >= 3 AS has_toc, k < 3 AS no_toc, CAST(k * (k + 1) // 2 AS BIGINT) AS pages,
     NOT odd AND k <= 1 AND {words_sql("t")} > 5000 AS chapter_detection_suspect FROM j""",
 )
 def corpus_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.structured_sources(spark, sf_dir).withColumns({"format": F.lit("text"), "method": F.lit("plain-text"), "size_bytes": F.octet_length("text"), "images_dropped": F.lit(None).cast("int")})
     got = corpus.metadata(rows, "book")
-    return got.select("book", "n_sources", "chars", "words", "estimated_tokens", "chapters_detected", "chapters_method", F.array_join("chapter_headings_sample", "").alias("sample"), "has_toc", F.col("pages").cast("long").alias("pages"), "chapter_detection_suspect")
+    return got.select("book", "n_sources", "chars", "words", "estimated_tokens", "chapters_detected", "chapters_method", F.array_join("chapter_headings_sample", "").alias("sample"), "has_toc", "no_toc", F.col("pages").cast("long").alias("pages"), "chapter_detection_suspect")
 
 
 @query("out_of_scope_files", f"WITH {D.BUNDLE_SQL} SELECT path FROM bundle WHERE path LIKE '%.md' AND path NOT IN ('SKILL.md', 'glossary.md', 'patterns.md', 'cheatsheet.md') AND path NOT LIKE 'chapters/%'")

@@ -165,11 +165,12 @@ def html_block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rtf_text", "SELECT doc_id, md5(replace(replace(text, chr(10), chr(10) || ' '), '|', '{|}')) AS text_md5 FROM documents")
 def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as RTF with a font table and escapes, and read again."""
+    """Documents written as RTF with hidden groups, groups inside the text, codes and escapes, and read again."""
     body = F.col("text")
-    for mark, written in (("&", "&amp;"), ("\n", "\\par "), ("|", "\\{|\\}")):
+    for mark, written in (("&", "&amp;"), ("\n", "\\par "), ("|", "\\{|\\}"), ("é", "\\u233?"), ("ñ", "\\u241 \\'f1"), (" the ", " {\\b\\i0 the} "), (" of ", "{\\*\\bkmkstart {x}y} of "), (" und ", " {\\info{\\title T}}und ")):
         body = F.replace(body, F.lit(mark), F.lit(written))
-    raw = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Calibri;}}{\\*\\generator x;}\\f0 "), body, F.lit("}"))
+    head = F.when(F.col("doc_id") % 3 == 0, "{\\stylesheet{\\s0 Normal;}{\\s1 Head;}}").otherwise("{\\colortbl;\\red255\\green0;}")
+    raw = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Calibri;}}{\\*\\generator x;}"), head, F.lit("\\f0 "), body, F.lit("}"))
     rows = D.table(spark, sf_dir, "documents").select("doc_id", markup.rtf_to_text(raw).alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
@@ -218,3 +219,15 @@ def text_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     first = F.array_join(F.slice(F.split(t, "\n", -1), 1, 2), " / ")
     return D.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit("(?i)the")).cast("long").alias("term_count"), F.md5(merge.analysis_window(t).cast("binary")).alias("window_md5"), first.alias("first_lines"))
+
+
+_ESCAPED = r"""array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = chr(92) THEN chr(92) || chr(92) WHEN c = chr(9) THEN '\t' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 256 THEN '\x' || lpad(lower(hex(unicode(c))), 2, '0') WHEN unicode(c) < 65536 THEN '\u' || lpad(lower(hex(unicode(c))), 4, '0')
+  ELSE '\U' || lpad(lower(hex(unicode(c))), 8, '0') END), '')"""
+
+
+@query("escaped_texts", f"WITH {D.MIXED_SQL} SELECT doc_id, md5({_ESCAPED}) AS escaped_md5, round_even(octet_length(encode(text)) * 1000 / 1048576::DOUBLE, 2) AS size_mb FROM mixed")
+def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts safe for a terminal, and the size of a thousand such files."""
+    t = F.col("text")
+    return D.mixed_scripts(spark, sf_dir).select("doc_id", F.md5(T.terminal_safe(t).cast("binary")).alias("escaped_md5"), T.size_mb(F.octet_length(t).cast("long") * 1000).alias("size_mb"))
