@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import headings as H
 from ..functions import text as T
 from . import structure
+from .ranking import stored
 
 SUSPECT_WORDS = 5000
 #: Failures that a message names.
@@ -45,7 +46,7 @@ def consolidate(sources: DataFrame, group: str) -> DataFrame:
 
 
 def _parts(sources: DataFrame, group: str) -> DataFrame:
-    """What a corpus needs of each source: counts of its banner and text, its headings' numbers and first lines, its events."""
+    """What a corpus needs of each source: its own record, counts of its banner and text, its headings' numbers and first lines, its events."""
     piece = F.concat(T.source_banner(F.col("filename"), F.col("path")), F.col("text"))
     cjk, counted = T.cjk_count(F.col("piece")), T.word_count(F.regexp_replace("piece", T.CJK, " "))
     rows = sources.withColumn("piece", piece).withColumn("cjk", cjk).withColumn("words", T.word_count(F.col("piece")))
@@ -58,7 +59,11 @@ def _parts(sources: DataFrame, group: str) -> DataFrame:
         F.when(F.col("cjk") == 0, F.col("words")).otherwise(counted).alias("latin"), F.size("ls").cast("long").alias("n_lines"),
         F.array_distinct(F.transform("heads", lambda h: h["number"])).alias("numbers"),
         F.transform(F.slice("heads", 1, structure.SAMPLE), lambda h: F.struct(F.col("source_ord").alias("source_ord"), h["line_no"].alias("line_no"), h["s"].alias("s"))).alias("first"),
-        F.when(F.size("heads") == 0, structure.events(F.col("ls"))).alias("events"),
+        F.when(F.size("heads") == 0, structure.events(F.col("ls"))).alias("events"), H.has_toc(F.col("text")).alias("has_toc"), F.col("size_bytes").alias("bytes"),
+        F.struct(
+            "source_ord", "path", "filename", "format", "method", T.size_mb(F.col("size_bytes")).alias("size_mb"), "pages", "images_dropped",
+            F.length("text").alias("chars"), T.word_count(F.col("text")).alias("words"), T.estimate_tokens(F.col("text")).alias("estimated_tokens"),
+        ).alias("source"),
     )
 
 
@@ -88,7 +93,7 @@ def metadata(sources: DataFrame, group: str) -> DataFrame:
     The consolidated text itself is never made: counts are sums over sources and their banners, numbered
     chapters are gathered by number, and headings by depth from the few lines that may be some.
     """
-    parts = _parts(sources, group)
+    parts = stored(_parts(sources, group))  # texts are read once
     numeric = _numeric(parts, group)
     structural = _structural(parts, numeric, group)
     ends = F.min_by("lead", "source_ord") + F.max_by("trail", "source_ord")
@@ -96,15 +101,11 @@ def metadata(sources: DataFrame, group: str) -> DataFrame:
         F.count("*").alias("n_sources"), (F.sum("chars") - ends).alias("chars"), F.sum("words").alias("words"),
         F.floor(F.sum("latin") / F.lit(T.WORDS_PER_TOKEN) + F.sum("cjk") / F.lit(T.CJK_PER_TOKEN)).cast("long").alias("estimated_tokens"),
     )
-    each = F.struct(
-        "source_ord", "path", "filename", "format", "method", T.size_mb(F.col("size_bytes")).alias("size_mb"), "pages", "images_dropped",
-        F.length("text").alias("chars"), T.word_count(F.col("text")).alias("words"), T.estimate_tokens(F.col("text")).alias("estimated_tokens"),
-    )
-    one = lambda c, many: F.when(F.count("*") > 1, F.lit(many)).otherwise(F.first(c))
-    totals = sources.groupBy(group).agg(
+    one = lambda c, many: F.when(F.count("*") > 1, F.lit(many)).otherwise(F.first(f"source.{c}"))
+    totals = parts.groupBy(group).agg(
         one("filename", "multi-source").alias("filename"), one("format", "mixed").alias("format"), one("method", "multi-method").alias("extraction_method"),
-        T.size_mb(F.sum("size_bytes")).alias("file_size_mb"), F.sum("pages").alias("pages"), F.sum(F.coalesce("images_dropped", F.lit(0))).alias("images_dropped"),
-        F.bool_or(H.has_toc(F.col("text"))).alias("has_toc"), F.array_sort(F.collect_list(each)).alias("sources"),
+        T.size_mb(F.sum("bytes")).alias("file_size_mb"), F.sum("source.pages").alias("pages"), F.sum(F.coalesce("source.images_dropped", F.lit(0))).alias("images_dropped"),
+        F.bool_or("has_toc").alias("has_toc"), F.array_sort(F.collect_list("source")).alias("sources"),
     )
     rows = measured.join(totals, group).join(numeric, group, "left").join(structural, group, "left")
     n = F.coalesce("numeric", "structural", F.lit(0))
