@@ -23,6 +23,8 @@ STEP, COUNTED = 2048, 1 << 19
 GROUP, SLICE = 1 << 21, 1 << 18
 #: Words of at least one in LISTED of all are handed to the tasks with their counts; the counts of all others are joined.
 LISTED = 1 << 17
+#: What a word that no other document has counts as.
+UNSEEN = 0.001
 #: Models of groups that one task adds up.
 FAN = 32
 _AROUND = [d for d in range(-SIDE, SIDE + 1) if d]
@@ -107,8 +109,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     through its documents in the order of the hash from the same start, and the groups' weights, averaged by
     tokens in a tree, start the next round.  So the model doesn't depend on how the table is partitioned.
     ``log_prob`` sums the log probability of each token given the tokens on both of its sides: that
-    of its class by the network, and that of the word in its class by the counts of all documents.  The
-    table of counts grows with the corpus and is joined with the words of each row; words too frequent to
+    of its class by the network, and that of the word in its class by the counts of all other documents: a
+    document's own words are left out, so a word that only it has is as unlikely as a new one, and UNSEEN
+    stands for a count of nothing.  The table of counts grows with the corpus and is joined with the words of each row; words too frequent to
     meet in one task are handed to the tasks instead, with the same counts.
 
     * null or word-less text: 0 tokens, log_prob 0, mean and perplexity null.
@@ -124,7 +127,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     listed = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") * LISTED >= total).collect()}
     # written first: a row's number is that of the one run that was kept
     told = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(
-        _classes(frequent, listed, buckets), "row long, doc_id long, h long, classes binary, known double, rare array<binary>"
+        _classes(frequent, listed, buckets), "row long, doc_id long, h long, classes binary, known double, rare array<binary>, times array<int>"
     )
     told = scratch.save(told)
     flat = Network().flat
@@ -135,8 +138,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         flat = _average(sent, flat)
         scratch.drop(sent)
     scored = told.select("row", "doc_id", "classes", "known").mapInArrow(_score(flat), "row long, doc_id long, n_tokens long, log_prob double")
-    others = counts.where(F.col("n") * LISTED < total).select("word", F.log("n").alias("more"))
-    more = told.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum("more").alias("more"))
+    others = counts.where(F.col("n") * LISTED < total)
+    more = told.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), "w.times")
+    more = more.join(others, "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n") - F.col("times") + UNSEEN)).alias("more"))
     whole = scored.join(more, "row", "left")
     whole = whole.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
@@ -190,30 +194,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(frequent: list[bytes], listed: dict[bytes, int], buckets: dict[int, int]):
-    """Numbered rows with the class of each word, the log share of ``listed`` words in their classes (of others, without their counts), and those others, as often as they occur."""
+    """Numbered rows with the class of each word, the log share of ``listed`` words in their classes (of others, without their counts), and those others with how often they occur."""
     of_class = np.zeros(CLASSES)
     for c, n in buckets.items():
         of_class[c] = math.log(max(1, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(frequent)
-        own = {w: math.log(n) for w, n in listed.items()} | dict.fromkeys(frequent, 0.0)
-        get, count = classes.__getitem__, own.get
+        own = listed | dict.fromkeys(frequent, 0)
+        get, count, log = classes.__getitem__, own.get, math.log
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in row_slices(batch, "text"):
-                found, known, rare = [], [], []
+                found, known, rare, times = [], [], [], []
                 for text in part.column("text").to_pylist():
                     words = text.encode().lower().split() if text else []
                     c = np.fromiter(map(get, words), np.uint8, len(words))
-                    n = list(map(count, words))
                     found.append(c.tobytes())
-                    rare.append([w for w, x in zip(words, n, strict=True) if x is None])
-                    known.append(math.fsum(filter(None, n)) - float(of_class @ np.bincount(c, minlength=CLASSES)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(found))), part.column("doc_id"), part.column("h"), pa.array(found, pa.binary()), pa.array(known, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
-                    ["row", "doc_id", "h", "classes", "known", "rare"],
-                )
+                    total, others, often = 0.0, [], []
+                    for w, k in Counter(words).items():
+                        n = count(w)
+                        if n is None:
+                            others.append(w)
+                            often.append(k)
+                        elif n:
+                            total += k * log(n - k + UNSEEN)
+                    rare.append(others)
+                    times.append(often)
+                    known.append(total - float(of_class @ np.bincount(c, minlength=CLASSES)))
+                kinds = [pa.int64(), None, None, pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                cols = [np.arange(row, row + len(found)), part.column("doc_id"), part.column("h"), found, known, rare, times]
+                yield pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "h", "classes", "known", "rare", "times"])
                 row += len(found)
 
     return run
