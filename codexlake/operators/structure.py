@@ -228,7 +228,7 @@ def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter:
     at = lambda body: H.toc_start(body)
     body = F.get("segs", F.lit(0))["body"]
     toc = T.word_tokens(F.when(at(body) > 0, body.substr(at(body), F.length(body))).otherwise(body))
-    sizes = F.transform(F.filter("segs", lambda s: s["number"].isNotNull()), lambda s: F.struct(s["number"].alias("number"), T.word_tokens(s["body"]).alias("tokens")))
+    sizes = F.transform(F.filter("segs", lambda s: s["number"].isNotNull()), lambda s: F.struct(s["number"].alias("number"), T.word_tokens(s["body"], in_array=True).alias("tokens")))
     rows = rows.select(key, "dump", toc.alias("toc"), sizes.alias("sizes")).where(F.size("sizes") > 0)
     numbers = F.array_sort(F.array_distinct(F.transform("sizes", lambda s: s["number"])))
     rows = rows.withColumn("numbers", numbers)
