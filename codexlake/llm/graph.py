@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Edges (about) to a file.
+FILE = 1 << 17
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reached.
@@ -24,7 +27,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        new = scratch.save(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        # a small table stays about as small, and is written as few files
+        new = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        new = scratch.save(new.coalesce(max(1, -(-state[0] // FILE))))
         after = _state(new)
         scratch.drop(now)
         now = new
