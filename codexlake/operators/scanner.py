@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,16 @@ ENTRY_FILE = "SKILL.md"
 SUPPORT_FILES = ("glossary.md", "patterns.md", "cheatsheet.md")
 
 
-#: A text or line without any of these, and without an invisible character, has no finding; characters that fold to ASCII are folded first.
+#: A text or line without any of these in lower case, without a character that folds to ASCII and without an invisible one has no finding.
 _NEEDLES = ("ignore", "disregard", "you", "system", "developer", "im_start", "[", "tool", "exfiltrat", "curl", "wget", "send", "post", "upload", "transmit", "http", "disable-model")
-_FOLDS = {"s": "[sſ]", "k": "[kK]", "i": "[iıİ]", "[": r"\["}
-#: One pass: a class of first letters, then the words.
-_MAYBE = "(?i)(?=[" + "".join(sorted({n[0] for n in _NEEDLES} - {"["})) + r"\[ſıİ])(?:" + "|".join("".join(_FOLDS.get(c, c) for c in n) for n in _NEEDLES) + ")"
+_FOLDS = "ſıİ\u212a"
 
 
 def _maybe(text: Column) -> Column:
-    return text.rlike(_MAYBE) | text.rlike(T.INVISIBLE_CLASS)
+    """Plain searches for each needle, which are far cheaper than one expression with all of them."""
+    found = T.let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (low.contains(n) for n in _NEEDLES)))
+    odd = reduce(lambda a, b: a | b, (text.contains(c) for c in _FOLDS)) | text.rlike(T.INVISIBLE_CLASS)
+    return found | ((F.octet_length(text) != F.length(text)) & odd)
 
 
 def in_scope(path: Column) -> Column:
