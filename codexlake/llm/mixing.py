@@ -82,11 +82,10 @@ def in_training_order(df: DataFrame) -> DataFrame:
 def targets(sized: DataFrame, weights: tuple[int, ...], ramps: tuple[float, ...]) -> DataFrame:
     """``(name, source_size, target, ramp)`` of each source of ``sized(source, size)``.
 
-    Filling to capacity in closed form: sources reach their cap in the order of ``cap / weight``, so with
+    One row a source meets in one task, never a document.  Filling to capacity in closed form: sources reach their cap in the order of ``cap / weight``, so with
     sources in that order one running sum tells at which level the rest share what is left.
     """
     source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # one row a source, not a document, meets here
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1
     turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (rank % len(values) + 1).cast("int"))
     source = source.select("source", "source_size", turn(weights).cast("double").alias("w"), turn(ramps).cast("double").alias("ramp"))

@@ -55,6 +55,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no URL: a site's host is the source, its path the language."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
 
