@@ -10,7 +10,7 @@ from .prefix import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words (about) to a slot of a source's order.
-SLOT = 1 << 17
+SLOT = 1 << 16
 #: No source is repeated more often.
 REPEATS = 3
 
@@ -46,18 +46,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ramps: tuple[floa
     scratch = Scratch(docs.sparkSession, "mixing")
     plain = with_columns_of(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
     sized = scratch.save(plain.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_hash(F.col("doc_id"), F.col("text")).alias("h")))
-    target = targets(sized, weights, ramps)
-    # slots are equal ranges of the hash, as many as the largest source needs
-    most = sized.groupBy("source").agg(F.sum("size").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    slots = max(1, -(-most // SLOT))
-    span = (1 << 60) // slots + 1
-    slot = F.least(F.floor(F.expr(f"h div {span}L")), F.lit(slots - 1)).cast("long")
-    placed = sized.withColumn("slot", slot)
+    # a row a source, written first: Spark sees how small it is and hands it out
+    target = scratch.save(targets(sized, weights, ramps))
+    placed = sized.join(target, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    # slots are equal ranges of the hash, as many as each source needs
+    slots = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SLOT))
+    placed = placed.withColumn("slots", slots).withColumn("slot", F.expr(f"h div ({1 << 60}L div slots + 1)")).drop("slots")
     sums = running_totals(placed.groupBy("source", "slot").agg(F.sum("size").alias("n")), "source", "slot", "n", "before")
-    told = sums.join(target, sums["source"].eqNullSafe(target["name"])).select(F.col("source").alias("s"), F.col("slot").alias("p"), "before", "source_size", "target", "ramp")
+    told = sums.select(F.col("source").alias("s"), F.col("slot").alias("p"), "before")
     order = Window.partitionBy("source", "slot").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    placed = placed.join(told, placed["source"].eqNullSafe(told["s"]) & (placed["slot"] == told["p"]))
+    placed = placed.join(told, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("p")))
     start = F.col("before") + F.col("within")
     words = F.least(F.round("target"), REPEATS * F.col("source_size")).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0)
