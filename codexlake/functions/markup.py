@@ -67,7 +67,7 @@ _RTF_TOKEN = re.compile(
       | (?P<tab>\\tab)
       | (?P<stray>\\(?=\\(?:u-?\d|'[0-9a-fA-F]{2}|par|tab)))
       | \\(?P<mark>[\\{}])
-      | \\(?P<word>[a-zA-Z]+)-?\d*[ ]?
+      | \\(?P<word>[a-zA-Z]+)-?\d*(?:[ ]|\\'[0-9a-fA-F]{2})?
       | \{(?P<open>(?:\\\*|\\[a-zA-Z]+)?)
       | (?P<close>\})
       | (?P<text>[^\\{}]+|\\)""",
@@ -109,7 +109,8 @@ class _Rtf:
 def rtf_text(raw: str) -> str:
     """Text of an RTF file; a group that hides its text and never ends hides nothing in the whole file.
 
-    ``\\par`` and ``\\tab`` are read wherever these letters stand; other control words go with their number and one blank.
+    ``\\par`` and ``\\tab`` are read wherever these letters stand; other control words go with their number and one
+    blank, which a byte's code right after them, read as a blank, is too.  A hidden group parts what stands around it.
     """
     read = _Rtf(raw, hiding=True)
     if not read.shown[-1]:
