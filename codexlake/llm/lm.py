@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_slices, with_columns_of
+from .common import Scratch, row_slices, starts_of, with_columns_of
 
 #: Token classes: 0 outside a text, then the most frequent words, then hashed rest; neighbours a side; hidden units.
 CLASSES, FREQUENT, SIDE, HIDDEN = 128, 95, 2, 16
@@ -222,8 +223,10 @@ def _classes(frequent: list[bytes], listed: dict[bytes, int], buckets: dict[int,
                     rare.append(others)
                     times.append(often)
                     known.append(total - float(of_class @ np.bincount(c, minlength=CLASSES)))
-                kinds = [pa.int64(), None, None, pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                cols = [np.arange(row, row + len(found)), part.column("doc_id"), part.column("h"), found, known, rare, times]
+                starts = pa.array(starts_of(map(len, rare)).astype(np.int32))
+                flat = [pa.ListArray.from_arrays(starts, pa.array(list(chain.from_iterable(x)), k)) for x, k in ((rare, pa.binary()), (times, pa.int32()))]
+                kinds = [pa.int64(), None, None, pa.binary(), pa.float64(), None, None]
+                cols = [np.arange(row, row + len(found)), part.column("doc_id"), part.column("h"), found, known, *flat]
                 yield pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "h", "classes", "known", "rare", "times"])
                 row += len(found)
 
