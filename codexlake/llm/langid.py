@@ -110,13 +110,12 @@ def ngrams(texts: list[str]) -> np.ndarray:
     """``(len(texts), FEATURES)``: square roots of hashed n-gram counts of whole texts, of length 1."""
     out = np.zeros((len(texts), FEATURES), np.float64)
     for k, text in enumerate(texts):
-        raw = text.encode().translate(_SEEN)
-        for c in range(0, max(1, len(raw)), BATCH_BYTES):  # pieces overlap by what an n-gram needs
-            part = np.frombuffer(b" " + raw[max(0, c - 2) : c + BATCH_BYTES] + b" ", np.uint8).astype(np.uint32)
-            skip = 0 if c == 0 else 2
-            one = part[skip:]
-            two = part[skip:-1] * np.uint32(257) + part[skip + 1 :]
-            three = (part[skip:-2] * np.uint32(257) + part[skip + 1 : -1]) * np.uint32(257) + part[skip + 2 :]
+        raw = b" " + text.encode().translate(_SEEN) + b" "
+        for c in range(0, len(raw), BATCH_BYTES):  # a piece has the n-grams that start in it, and so two bytes more
+            part = np.frombuffer(raw[c : c + BATCH_BYTES + 2], np.uint8).astype(np.uint32)
+            one = part[:BATCH_BYTES]
+            two = (part[:-1] * np.uint32(257) + part[1:])[:BATCH_BYTES]
+            three = (part[:-2] * np.uint32(257) + part[1:-1]) * np.uint32(257) + part[2:]
             for n, g in ((1, one), (2, two), (3, three)):
                 h = ((g + np.uint32(n * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
                 out[k] += np.bincount(h, minlength=FEATURES)

@@ -411,6 +411,15 @@ def test_language_codes():
             assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 3
 
 
+def test_ngrams_of_pieces_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(41)
+    texts = [prose(rng, 900) + " é ß " + prose(rng, 300), "a", "", "ab" * 700]
+    whole = langid.ngrams(texts)
+    for size in (1000, 7, 3):
+        monkeypatch.setattr(langid, "BATCH_BYTES", size)
+        assert np.allclose(langid.ngrams(texts), whole, atol=1e-6)
+
+
 def test_languages(spark, empty):
     rng = random.Random(3)
     kinds = {"aa": "the of and ing tion", "bb": "der und sch ung ein", "cc": "le que eau ment eux"}
