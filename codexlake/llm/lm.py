@@ -22,8 +22,8 @@ CLASSES, FREQUENT, SIDE, HIDDEN = 128, 95, 2, 16
 STEP, COUNTED = 2048, 1 << 19
 #: Words (about) of a group that learns from one start, and of a slice of it that steps are drawn from.
 GROUP, SLICE = 1 << 21, 1 << 18
-#: Words of at least one in LISTED of all are handed to the tasks with their counts; the counts of all others are joined.
-LISTED = 1 << 17
+#: Words of at least one in LISTED of all, so that many at most (some 25 MB; by their usual distribution a tenth), are handed to the tasks with their counts; the counts of all others are joined.
+LISTED = 1 << 20
 #: What a word that no other document has counts as.
 UNSEEN = 0.001
 #: Models of groups that one task adds up.
