@@ -115,7 +115,8 @@ def size_mb(n_bytes: Column) -> Column:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, F.format_string("%.1fx", a / b)).otherwise("n/a")
+    """To one decimal by the exact value of the quotient, ties to even; ``format_string`` rounds its shortest decimal up."""
+    return F.when(b != 0, F.concat(F.call_function("format_number", a / b, F.lit("0.0")), F.lit("x"))).otherwise("n/a")
 
 
 def source_banner(filename: Column, path: Column) -> Column:

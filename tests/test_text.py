@@ -57,3 +57,10 @@ def test_ratio_and_banner(spark):
     assert list(row) == ["3.5x", "n/a"]
     banner = spark.createDataFrame([("f", "/p")], "f string, p string").select(T.source_banner(F.col("f"), F.col("p"))).first()[0]
     assert banner == "\n\n" + "=" * 80 + "\nSOURCE: f (Path: /p)\n" + "=" * 80 + "\n\n"
+
+
+def test_ratio_rounds_as_the_quotient_is(spark):
+    # 0.15 and 0.35 lie below their decimals, 0.45 above; 0.25 and 0.75 are ties
+    pairs = [(a, 5000) for a in (750, 1250, 1750, 2250, 3750, 274849)] + [(123456789, 10)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", T.ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert {(x["a"], x["b"]): x["r"] for x in rows} == {(a, b): f"{a / b:.1f}x" for a, b in pairs}
