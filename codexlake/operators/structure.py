@@ -6,12 +6,17 @@ functions over arrays: no line is ever shuffled, and texts are not either.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headings as H
 from ..functions import text as T
 
+#: The chapter number of a stripped line, null of one that is no heading.
+Number = Callable[[Column], Column]
+
 #: Numbered titles of one depth count as chapters from so many, with so many characters of body in the median.
 LEAST_TITLES, LEAST_BODY = 3, 200
 SAMPLE = 10
@@ -27,11 +32,11 @@ def _indexed(ls: Column) -> Column:
     return F.transform(ls, lambda x, i: F.struct(i.alias("line_no"), x.alias("raw")))
 
 
-def numbered(ls: Column) -> Column:
-    """Chapter headings among lines: ``array<struct<line_no, s, number>>``."""
+def numbered(ls: Column, number: Number = H.stripped_chapter_number) -> Column:
+    """Chapter headings among lines: ``array<struct<line_no, s, number>>``; ``number`` may tell fewer lines for headings than the default."""
     # most lines end at this test, before they are even stripped
     some = F.transform(F.filter(_indexed(ls), lambda x: H.maybe_chapter(x["raw"])), lambda x: F.struct(x["line_no"].alias("line_no"), T.strip(x["raw"]).alias("s")))
-    told = F.transform(some, lambda x: F.struct(x["line_no"].alias("line_no"), x["s"].alias("s"), H.stripped_chapter_number(x["s"]).alias("number")))
+    told = F.transform(some, lambda x: F.struct(x["line_no"].alias("line_no"), x["s"].alias("s"), number(x["s"]).alias("number")))
     return F.filter(told, lambda x: x["number"].isNotNull())
 
 
@@ -160,13 +165,13 @@ def structural_count(table: Column) -> Column:
     return T.let(table, lambda t: F.coalesce(several(t), F.aggregate(t, F.lit(0).cast("long"), lambda a, d: a + d["titles"])))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column, number: Number = H.stripped_chapter_number) -> DataFrame:
     """``(key, chapters_detected, chapters_method, chapter_headings_sample, has_toc)`` of every document, and the columns ``more``.
 
     Headings by depth are only sought in documents without numbered chapters.
     """
     rows = line_arrays(docs, key, text, F.coalesce(H.has_toc(F.col(text)), F.lit(False)).alias("has_toc"), *more)
-    rows = rows.withColumn("heads", numbered(F.col("ls"))).withColumn("numeric", chapter_count(F.col("heads")))
+    rows = rows.withColumn("heads", numbered(F.col("ls"), number)).withColumn("numeric", chapter_count(F.col("heads")))
     n = F.when(F.col("numeric") > 0, F.col("numeric")).otherwise(structural_count(depth_table(headings(F.col("ls")))))
     method = F.when(F.col("numeric") > 0, "numeric").when(F.col("n") > 0, "structural").otherwise("none")
     sample = F.transform(F.slice("heads", 1, SAMPLE), lambda x: x["s"])
@@ -174,7 +179,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Colu
     return rows.select(key, F.col("n").alias("chapters_detected"), method.alias("chapters_method"), sample.alias("chapter_headings_sample"), *(c for c in rows.columns if c not in (key, "ls", "heads", "numeric", "n")))
 
 
-def segment_array(ls: Column) -> Column:
+def segment_array(ls: Column, number: Number = H.stripped_chapter_number) -> Column:
     """``array<struct<seg_id, number, heading, body>>``: segment 0 is what stands before the first chapter heading, even if empty."""
 
     def one(lines: Column, heads: Column, k: Column) -> Column:
@@ -182,16 +187,16 @@ def segment_array(ls: Column) -> Column:
         a, z = F.coalesce(head["line_no"], F.lit(0)), F.coalesce(F.get(heads, k)["line_no"], F.size(lines))
         return F.struct(k.cast("long").alias("seg_id"), head["number"].alias("number"), F.coalesce(head["s"], F.lit("__front__")).alias("heading"), F.array_join(F.slice(lines, a + 1, z - a), "\n").alias("body"))
 
-    return T.let(ls, lambda lines: T.let(numbered(lines), lambda heads: F.transform(F.sequence(F.lit(0), F.size(heads)), lambda k: one(lines, heads, k))))
+    return T.let(ls, lambda lines: T.let(numbered(lines, number), lambda heads: F.transform(F.sequence(F.lit(0), F.size(heads)), lambda k: one(lines, heads, k))))
 
 
-def _segmented(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    return line_arrays(docs, key, text, *more).withColumn("segs", segment_array(F.col("ls"))).drop("ls")
+def _segmented(docs: DataFrame, key: str, text: str, *more: Column, number: Number = H.stripped_chapter_number) -> DataFrame:
+    return line_arrays(docs, key, text, *more).withColumn("segs", segment_array(F.col("ls"), number)).drop("ls")
 
 
-def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", number: Number = H.stripped_chapter_number) -> DataFrame:
     """``(key, seg_id, number, heading, body)``, a row a segment."""
-    return _segmented(docs, key, text).select(key, F.inline("segs"))
+    return _segmented(docs, key, text, number=number).select(key, F.inline("segs"))
 
 
 def best_chapters(segs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -217,13 +222,13 @@ def skill_size(files: DataFrame, target: int, core: int = 4000, chapter: int = 1
     return rows.agg(F.coalesce(entry, F.lit(core)).cast("long").alias("core"), measured.alias("chapter"), entry.isNotNull().alias("measured"))
 
 
-def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter: int = 1000, key: str = "doc_id", text: str = "text", skill: DataFrame | None = None) -> DataFrame:
+def discovery_cost(docs: DataFrame, target: int = 5, core: int = 4000, chapter: int = 1000, key: str = "doc_id", text: str = "text", skill: DataFrame | None = None, number: Number = H.stripped_chapter_number) -> DataFrame:
     """Tokens that ways of answering one question cost: ``(key, target, dump, toc, best, loop, skill, vs_dump, vs_best, vs_loop)``.
 
     Documents without chapters have no row.  The target is a chapter's number, or where it is missing the
     chapter in that place, or the last.  ``skill``: the one row of ``skill_size`` to use in place of ``core`` and ``chapter``.
     """
-    rows = _segmented(docs, key, text, T.word_tokens(F.col(text)).alias("dump"))
+    rows = _segmented(docs, key, text, T.word_tokens(F.col(text)).alias("dump"), number=number)
     # one number a segment from here on; the texts end in this step
     at = lambda body: H.toc_start(body)
     body = F.get("segs", F.lit(0))["body"]

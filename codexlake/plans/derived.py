@@ -6,7 +6,7 @@ holds the documents of one source within a thousand ids, which bounds every wind
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOOK = 1000
@@ -51,6 +51,11 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(numbered_docs(spark, sf_dir), part)
 
 
+def chapter_number(s: Column) -> Column:
+    """Number of a stripped line that reads as the headings put in, null of any other: invented words may read as a heading too (``Chvi. ...``)."""
+    return F.regexp_extract(s, r"^Chapter (\d{1,2})\z", 1).try_cast("int")
+
+
 BOOKS_SQL = f"""{NUMBERED_SQL}, books AS ({_joined_sql("CASE WHEN k = 1 THEN 'Contents' || chr(10) || 'Chapter 1' || chr(10) || 'Chapter 2' || chr(10) || chr(10) ELSE '' END || 'Chapter ' || CAST(k AS VARCHAR) || chr(10) || text")})"""
 
 

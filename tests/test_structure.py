@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from codexlake.operators import structure as S
 
 LONG = "word " * 60
@@ -42,3 +44,11 @@ def test_segments_and_costs(spark):
     cost = {r["doc_id"]: r for r in S.discovery_cost(docs).collect()}
     assert set(cost) == {1, 2} and cost[1]["target"] == 2
     assert cost[1]["loop"] == cost[1]["toc"] + 402 + 1202 and cost[1]["skill"] == 5000 and cost[2]["vs_dump"] == "0.0x"
+
+
+def test_headings_told_by_the_caller(spark):
+    docs = spark.createDataFrame([(1, "a\nChvi. Chier\nb\nChapter 2\nc")], "doc_id long, text string")
+    number = lambda s: F.regexp_extract(s, r"^Chapter (\d{1,2})\z", 1).try_cast("int")
+    told = lambda **k: [(r["seg_id"], r["number"], r["body"]) for r in S.segments(docs, **k).orderBy("seg_id").collect()]
+    assert told() == [(0, None, "a"), (1, 6, "Chvi. Chier\nb"), (2, 2, "Chapter 2\nc")]
+    assert told(number=number) == [(0, None, "a\nChvi. Chier\nb"), (1, 2, "Chapter 2\nc")]

@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables that hold what only large ones of the driver's do."""
 
 import duckdb
+import pytest
 
 from codexlake.plans import catalog
 
@@ -22,3 +23,14 @@ def test_html_text_scanner_on_cut_references(spark, tmp_path):
     pages = [(k, f"<html><head><title>{t}</title></head><body><h1>{t}</h1><p>{t}</p></body></html>") for k, t in enumerate(texts)]
     got, told = twins(spark, tmp_path, "html_text_scanner", pages=(pages, "page_id long, html string"))
     assert got == told and len(got) == len(texts)
+
+
+#: Invented words that read as headings, before and after chapters of their numbers, and one line that is a heading.
+TEXTS = ("one two\nChvi. Chier épaen, eaumentou ètreré. Êchoi de.\nthree " + "w " * 90, "V. A b\nChi\nx", "plain", "  Chapter 7 \ny z", "## Kapitel 41\nu v", "第三章 开始\nt", "a\n" * 700)
+DOCUMENTS = ([(k, t, "src0" if k < 4 else "src10") for k, t in enumerate(TEXTS)], "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("name", ["chapter_segments"])
+def test_books_with_lines_that_read_as_headings(spark, tmp_path, name):
+    got, told = twins(spark, tmp_path, name, documents=DOCUMENTS)
+    assert got == told and got
