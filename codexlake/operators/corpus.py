@@ -45,13 +45,13 @@ def consolidate(sources: DataFrame, group: str) -> DataFrame:
     return rows.select(group, "n_sources", joined.alias("text"), F.array_join(F.transform("of", lambda x: x["p"]), "\n\n").alias("plain"))
 
 
-def _parts(sources: DataFrame, group: str) -> DataFrame:
+def _parts(sources: DataFrame, group: str, number: structure.Number) -> DataFrame:
     """What a corpus needs of each source: its own record, counts of its banner and text, its headings' numbers and first lines, its events."""
     piece = F.concat(T.source_banner(F.col("filename"), F.col("path")), F.col("text"))
     cjk, counted = T.cjk_count(F.col("piece")), T.word_count(F.regexp_replace("piece", T.CJK, " "))
     rows = sources.withColumn("piece", piece).withColumn("cjk", cjk).withColumn("words", T.word_count(F.col("piece")))
     rows = rows.withColumn("ls", F.coalesce(T.lines(F.col("text")), F.array().cast("array<string>")))
-    rows = rows.withColumn("heads", structure.numbered(F.col("ls")))
+    rows = rows.withColumn("heads", structure.numbered(F.col("ls"), number))
     lead = F.length("piece") - F.length(F.regexp_replace("piece", rf"^{T.WS}+", ""))
     trail = F.length("piece") - F.length(F.regexp_replace("piece", rf"{T.WS}+\z", ""))
     return rows.select(
@@ -86,14 +86,14 @@ def _structural(parts: DataFrame, numeric: DataFrame, group: str) -> DataFrame:
     return whole.select(group, structure.structural_count(structure.depth_table(structure.headings_of(F.col("events")))).alias("structural"))
 
 
-def metadata(sources: DataFrame, group: str) -> DataFrame:
+def metadata(sources: DataFrame, group: str, number: structure.Number = H.stripped_chapter_number) -> DataFrame:
     """One row a corpus: totals of the consolidated text, structure across sources, and an array of its sources.
 
     ``sources(group, source_ord, path, filename, format, method, size_bytes, pages, images_dropped, text)``.
     The consolidated text itself is never made: counts are sums over sources and their banners, numbered
-    chapters are gathered by number, and headings by depth from the few lines that may be some.
+    chapters are gathered by number, and headings by depth from the few lines that may be some.  ``number`` as in ``structure.numbered``.
     """
-    parts = stored(_parts(sources, group))  # texts are read once
+    parts = stored(_parts(sources, group, number))  # texts are read once
     numeric = _numeric(parts, group)
     structural = _structural(parts, numeric, group)
     ends = F.min_by("lead", "source_ord") + F.max_by("trail", "source_ord")
