@@ -59,8 +59,11 @@ def keys(fm: Column) -> Column:
     return F.filter(found, lambda k: k != "")
 
 
-def audit(files: DataFrame, lens: str, key: str = "path", text: str = "text") -> DataFrame:
-    """``(key, lens, severity, rule)`` for every fault of every file; a file without faults has no row."""
+def audit(files: DataFrame, lens: str, key: str = "path", text: str = "text", length: bool = True) -> DataFrame:
+    """``(key, lens, severity, rule)`` for every fault of every file; a file without faults has no row.
+
+    Without ``length`` faults of the frontmatter and of the tools it grants alone, not that a file has too many lines.
+    """
     tools, known_keys, reserved, shells, strict = LENSES[lens]
     t = F.col(text)
     rows = files.select(key, frontmatter(t).alias("fm"), body(t).alias("body"), F.size(T.lines(t)).alias("n"))
@@ -88,7 +91,7 @@ def audit(files: DataFrame, lens: str, key: str = "path", text: str = "text") ->
         fault(some & shell & (F.size(F.array_intersect("bases", lit(shells))) == 0), "error", "tools.shell_blocked"),
         fault(some & (F.size(known) == 0), "error", "tools.none_known") if strict else fault(F.lit(False), "error", "tools.none_known"),
         fault(some & (F.size(F.array_except("bases", lit(tools))) > 0), "warn", "tools.unknown"),
-        fault(F.col("n") > LONGEST_BODY, "warn", "body.long"),
+        *([fault(F.col("n") > LONGEST_BODY, "warn", "body.long")] if length else []),
     )
     unknown_keys = F.transform(F.filter("keys", lambda k: ~k.isin(*known_keys)), lambda k: F.struct(F.lit("warn").alias("severity"), F.concat(F.lit("key.unknown:"), k).alias("rule")))
     missing = F.array(F.struct(F.lit("error").alias("severity"), F.lit("frontmatter.missing").alias("rule")))

@@ -52,3 +52,9 @@ def test_validator(spark):
         ("error", "description.long"), ("error", "name.characters"), ("error", "name.long"), ("error", "tools.none_known"), ("warn", "tools.unknown"),
     ]
     assert faults(spark, "---\ndescription: d\n---\n") == [("error", "name.missing")]
+
+
+def test_validator_without_length(spark):
+    rows = spark.createDataFrame([("p", "---\nname: a\n---\n" + "l\n" * 600)], "path string, text string")
+    rules = lambda **k: sorted(r["rule"] for r in validator.audit(rows, "claude", **k).collect())
+    assert rules() == ["body.long", "description.missing"] and rules(length=False) == ["description.missing"]

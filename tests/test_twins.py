@@ -43,3 +43,9 @@ def test_corpora_with_lines_that_read_as_headings(spark, tmp_path):
     # this SQL reads no texts for chapters, so none holds one here
     got, told = twins(spark, tmp_path, "corpus_structure", documents=documents([t for t in TEXTS if "Chapter" not in t]))
     assert got == told and got
+
+
+@pytest.mark.parametrize("name", ["skill_validation"])
+def test_bundles_with_long_files(spark, tmp_path, name):
+    got, told = twins(spark, tmp_path, name, documents=([(k, "l\n" * (600 * (k % 2)), "s") for k in range(40)], "doc_id long, text string, source string"))
+    assert got == told and got
